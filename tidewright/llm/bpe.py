@@ -15,7 +15,7 @@ from .common import map_texts, table
 NONE = np.int64(1) << 62
 POS = 32
 #: Distinct words whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 #: Leaves of all the trees that are worked on together.
 LEAVES = 1 << 20
 # The published byte-level split pattern, white space as Unicode has it.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a table to the checkpoint folder that all executors share, and cuts its lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
     """Cuts a batch into runs (start, end) of at most `most` characters, or one text."""
     start = size = 0

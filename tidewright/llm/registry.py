@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, tokens
+from . import bpe, media, mixing, tokens
 
-MODULES = (tokens, bpe)
+MODULES = (tokens, media, mixing, bpe)
 
 
 def queries() -> dict:
