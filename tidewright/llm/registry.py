@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, tokens
+from . import bpe, langid, media, mixing, quality, tokens
 
-MODULES = (tokens, media, mixing, bpe)
+MODULES = (tokens, media, mixing, bpe, quality, langid)
 
 
 def queries() -> dict:
