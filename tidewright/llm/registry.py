@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lines, media, mixing, quality, tokens
+from . import bpe, langid, lines, media, mixing, nearjoin, quality, tokens
 
-MODULES = (tokens, media, mixing, lines, bpe, quality, langid)
+MODULES = (tokens, media, mixing, nearjoin, lines, bpe, quality, langid)
 
 
 def queries() -> dict:
