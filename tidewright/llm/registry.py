@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lines, media, mixing, nearjoin, quality, tokens
+from . import ann, bpe, langid, lines, media, mixing, nearjoin, quality, substrings, tokens
 
-MODULES = (tokens, media, mixing, nearjoin, lines, bpe, quality, langid)
+MODULES = (tokens, media, mixing, nearjoin, lines, bpe, quality, ann, langid, substrings)
 
 
 def queries() -> dict:
