@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import groups, table
 
 BUCKETS = 1 << 15
 CHAIN = 64
@@ -184,21 +186,29 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit([r["t"] for r in rows], [r["l"] for r in rows]) if rows else None
 
 
-def predict(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Language of every text: the id, lang_pred, score (mean marginal of that language over the words).
+def language(df: DataFrame, model: dict | None, text_col: str = "text") -> Column:
+    """A column of lang_pred and score (mean marginal of that language over the words) for every text of `df`.
 
     Texts without a letter, null and empty ones get `und` with score 0, as all do without a model. Words are all letter
     runs of the whole text, in chains of CHAIN words. No shuffle; the model (bounded by its parameters) is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    key = str(shared.id)
+    key = uuid4().hex
+
+    def run(column: pa.Array) -> pa.Array:
+        texts = [x or "" for x in column.to_pylist()]
+        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if shared.value is not None:
+            for a, b in groups(texts):
+                lang[a:b], score[a:b], _ = label_texts(texts[a:b], shared.value, _known(key))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    def run(texts: list[str]) -> list[list]:
-        if shared.value is None:
-            return [[UNKNOWN] * len(texts), [0.0] * len(texts)]
-        return list(label_texts(texts, shared.value, _known(key))[:2])
+    return F.arrow_udf(run, "lang_pred string, score double")(F.col(text_col))
 
-    return map_texts(df, id_col, text_col, "lang_pred string, score double", run)
+
+def predict(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Language of every text: the id, lang_pred, score; one row per row of `df`."""
+    return df.select(F.col(id_col), language(df, model, text_col).alias("language_")).select(id_col, "language_.lang_pred", "language_.score")
 
 
 def _op9(spark, sf_dir):
