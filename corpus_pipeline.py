@@ -1,8 +1,54 @@
 """Corpus preparation in stages; each stage takes what the one before has kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from public_tokenizers import path
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.llm import bpe, langid, lines, mixing, nearjoin
+from tidewright.llm.common import cut, table
+
+#: Least mean marginal of a document's language. Below it no language holds half of the words' weight.
+CERTAIN = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is certain; those without letters go."""
+    found = docs.withColumn("language_", langid.language(docs, langid.train(docs)))
+    return found.filter((F.col("language_.lang_pred") != langid.UNKNOWN) & (F.col("language_.score") >= CERTAIN)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one occurrence of each group of lines; documents of which nothing is left go."""
+    out = lines.dedup_lines(docs).filter((F.col("removed_") == 0) | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    kept = nearjoin.near_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id_"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id_")), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that the sources come near their weights."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the text that they decode to, as digests."""
+    return bpe.digests(bpe.encode_decode(docs, path("byte_bpe_50k.json")))
+
+
+STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("mix", mix_sources), ("bpe", encode)]
+#: The stages hold a trained model and a random join, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each cut from the one before at the shared checkpoint folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, cut(docs) if k else docs, sf_dir)
+    return docs
