@@ -1,32 +1,15 @@
-"""The registered queries on the star schema and the event table."""
+"""All registered queries on the star schema and the event table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import relational
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+GROUPS = (relational.query,)
 
 
-def flow_revenue_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_extendedprice")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
-    price = F.col("l_extendedprice")
-    return (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("p_brand")
-        .agg(F.count("*").alias("n_lines"), F.round(F.sum(price), 2).alias("revenue"), F.round(F.avg(price), 2).alias("avg_price"))
-        .orderBy(F.desc("revenue"), "p_brand")
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flow_revenue_by_category": flow_revenue_by_category}
+def queries() -> dict:
+    return {k: v for g in GROUPS for k, v in g.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "flow_revenue_by_category": """
-            SELECT p_brand, count(*) AS n_lines, round(sum(l_extendedprice), 2) AS revenue, round(avg(l_extendedprice), 2) AS avg_price
-            FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
-    }
+    return {k: v for g in GROUPS for k, v in g.sql.items()}
