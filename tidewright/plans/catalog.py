@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import pipelines, relational
 
-GROUPS = (relational.query,)
+GROUPS = (relational.query, pipelines.query)
 
 
 def queries() -> dict:
