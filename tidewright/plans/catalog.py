@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pipelines, relational
+from . import graphs, pipelines, relational
 
-GROUPS = (relational.query, pipelines.query)
+GROUPS = (relational.query, pipelines.query, graphs.query)
 
 
 def queries() -> dict:
