@@ -115,8 +115,9 @@ class ParquetTable:
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(self.path)
             return receipt | {"rows_inserted": written}
         if not self.exists():
-            self.replace(df)
-            return receipt | {"rows_inserted": written}
+            self.replace(latest_rows(df, keys, order) if strategy == "merge" else df)
+            written = self.read().count()
+            return receipt | {"rows_written": written, "rows_inserted": written}
         old = self.read()
         if add_columns:
             old = old.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in old.columns))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, pipelines, relational
+from . import graphs, pipelines, relational, streams
 
-GROUPS = (relational.query, pipelines.query, graphs.query)
+GROUPS = (relational.query, pipelines.query, graphs.query, streams.query)
 
 
 def queries() -> dict:
