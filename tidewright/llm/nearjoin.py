@@ -20,8 +20,8 @@ from .graph import components
 SHINGLE, PERCENT = 5, 85
 #: Minwise hashes of a set; the first TREES of them are the roots of the trees.
 HASHES, TREES = 64, 12
-#: Sets in a node that are compared exhaustively, and levels of branching below a root.
-LEAF, LEVELS = 256, 24
+#: Sets in a node that are compared in one task; sets beyond which a node branches; levels of branching below a root.
+LEAF, LARGE, LEVELS = 800, 4096, 24
 #: A pair goes to the exact comparison unless its minwise estimate is so far below the similarity (3.6 deviations).
 SLACK = 3.6 * (PERCENT / 100 * (1 - PERCENT / 100) / HASHES) ** 0.5
 #: Most representatives whose ids are broadcast to fetch their texts; beyond it the join is shuffled.
@@ -103,27 +103,28 @@ def branch(nodes: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def leaves(reps: DataFrame) -> DataFrame:
-    """Nodes to compare exhaustively: path, key. Nodes of more than LEAF sets branch until they are smaller.
+    """Nodes to compare exhaustively: path, key, tree, side. Nodes of more than LARGE sets branch until they are smaller.
 
-    What is still large after LEVELS levels is cut into blocks, and each pair of blocks becomes a node, so no pair of a
-    leaf is left out.
+    Leaves of more than LEAF sets, and those that are still large after LEVELS levels, are cut into blocks, and each pair
+    of blocks is a node of its own (side tells the blocks apart), so no pair of a leaf is left out. tree is the root that
+    a node is, or -1 below the roots.
     """
-    roots = F.explode(F.array(*(F.xxhash64(F.lit(k), coordinate(F.col("sig"), F.lit(k))) for k in range(TREES))))
-    nodes, found = reps.select(roots.alias("path"), "key"), None
+    roots = F.posexplode(F.array(*(F.xxhash64(F.lit(k), coordinate(F.col("sig"), F.lit(k))) for k in range(TREES))))
+    nodes, found = reps.select(roots.alias("tree", "path"), "key"), None
     for level in range(LEVELS + 1):
         size = nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         sized = cut(nodes.join(size, "path"))
-        small = sized.filter(F.col("size") <= LEAF).select("path", "key")
-        found = small if found is None else found.unionByName(small)
-        large = sized.filter(F.col("size") > LEAF)
+        least = LARGE if level < LEVELS else 1 << 62
+        blocks = F.ceil(F.col("size") / LEAF).cast("int")
+        some = sized.filter(F.col("size") <= least).withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        path = F.when(blocks == 1, F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
+        side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        some = some.select(path.alias("path"), "key", "tree", side.alias("side"))
+        found = some if found is None else found.unionByName(some)
+        large = sized.filter(F.col("size") > least)
         if large.isEmpty():
             return found
-        if level < LEVELS:
-            nodes = branch(large, reps)
-    blocks = F.ceil(F.col("size") * 2 / LEAF).cast("int")
-    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    other = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return found.unionByName(other.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "key"))
+        nodes = branch(large, reps).withColumn("tree", F.lit(-1))
 
 
 def by_node(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.Table]:
@@ -147,19 +148,24 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def with_partners(rows: DataFrame) -> DataFrame:
-    """Keeps the rows (path, key, n, sig) that may have a partner in their node by size and minwise estimate."""
+    """Keeps the rows (path, key, tree, side, n, sig) that may have a partner in their node by size and minwise estimate.
+
+    A pair that shares the token of an earlier root is compared there, so here only its first root counts.
+    """
     schema = T.StructType([T.StructField("path", T.LongType()), T.StructField("key", T.BinaryType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_node(batches):
-            path, n, sig = t.column("path").to_numpy(), t.column("n").to_numpy(), _matrix(t.column("sig"))
+            path, n, tree, side = (t.column(c).to_numpy() for c in ("path", "n", "tree", "side"))
+            sig = _matrix(t.column("sig"))
             active = np.zeros(len(path), bool)
             step = 1
             while len(at := np.flatnonzero(path[:-step] == path[step:])):
                 size = np.minimum(n[at], n[at + step]) * 100 >= PERCENT * np.maximum(n[at], n[at + step])
-                at = at[size]
-                near = at[(sig[at] == sig[at + step]).mean(1) >= PERCENT / 100 - SLACK]
+                at = at[size & ((side[at] < 0) | (side[at] != side[at + step]))]
+                same = sig[at] == sig[at + step]
+                near = at[(same.mean(1) >= PERCENT / 100 - SLACK) & ((tree[at] < 0) | (same.argmax(1) == tree[at]))]
                 active[near] = active[near + step] = True
                 step += 1
             yield pa.RecordBatch.from_arrays([pa.array(path[active]), t.column("key").combine_chunks().filter(pa.array(active)).cast(pa.binary())], schema=out)
@@ -168,22 +174,11 @@ def with_partners(rows: DataFrame) -> DataFrame:
 
 
 def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a node on full sets, as a forest that joins what is connected.
-
-    All intersections of the node come from one product of its incidence matrix over the shingles that two sets share.
-    """
+    """Links of a node on full sets, as a forest that joins what is connected."""
     n = np.array([len(s) for s in sets])
     value, column = np.unique(np.concatenate(sets), return_inverse=True)
-    often = np.bincount(column, minlength=len(value)) > 1
-    row = np.repeat(np.arange(len(sets)), n)[often[column]]
-    column = (np.cumsum(often) - 1)[column[often[column]]]
-    both = np.zeros((len(sets), len(sets)))
-    for a in range(0, int(often.sum()), 8192):
-        inside = (column >= a) & (column < a + 8192)
-        m = np.zeros((len(sets), 8192), np.float32)
-        m[row[inside], column[inside] - a] = 1
-        both += m @ m.T
-    i, j = np.nonzero(np.triu(100 * both >= PERCENT * (n[:, None] + n - both), 1))
+    start = np.r_[0, np.cumsum(n)]
+    mark = np.zeros(len(value), np.int32)
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -192,10 +187,15 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        if (p := find(a)) != (q := find(b)):
-            root[max(p, q)] = min(p, q)
-            out.append((a, b))
+    for a in range(len(sets) - 1):
+        mine = column[start[a] : start[a + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[column[start[a + 1] :]], start[a + 1 : -1] - start[a + 1])
+        mark[mine] = 0
+        for b in (a + 1 + np.flatnonzero(100 * both >= PERCENT * (n[a] + n[a + 1 :] - both))).tolist():
+            if (p := find(a)) != (q := find(b)):
+                root[max(p, q)] = min(p, q)
+                out.append((a, b))
     return out
 
 
@@ -226,7 +226,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     with each other. A null id takes no part in the minimum; repeated rows give repeated results.
 
     The join finds a link with the probability that one of TREES random trees keeps both sets together; all that it
-    reports is checked on full sets. Nodes hold at most LEAF sets, so no task needs a large group.
+    reports is checked on full sets. A task compares two blocks of LEAF sets at most, so none needs a large group.
     """
     found = cut(features(df, id_col, text_col, False))
     reps = cut(found.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")))
@@ -242,7 +242,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     named = classes.join(least, "root").select("key", "component")
     out = found.select("id", "n", "key").join(named, "key", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def queries() -> dict:
