@@ -158,3 +158,14 @@ def column_facets(edges: DataFrame) -> DataFrame:
 
 def retained(rows: DataFrame, at: str, cutoff) -> DataFrame:
     return rows.filter(F.col(at) >= F.lit(cutoff))
+
+
+def resolve_columns(columns: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Column keys (pipeline_id, node_id, column) of wanted resources and canonical columns (resource_fingerprint, column)."""
+    return columns.join(wanted.distinct(), ["resource_fingerprint", "column"]).select("pipeline_id", "node_id", "column").distinct()
+
+
+def column_impact(edges: DataFrame, start: str, owner: DataFrame, depth: int = 10) -> DataFrame:
+    """Columns below one, with their pipelines: owner (node, pipeline)."""
+    below = trace(edges, start, depth=depth).select(F.col("dst").alias("node")).distinct()
+    return below.join(owner.distinct(), "node", "left").select("node", "pipeline")

@@ -282,3 +282,22 @@ def rn_compare_tests(spark, sf_dir):
 @query("""SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS row FROM events WHERE event_type = 'purchase' ORDER BY event_id LIMIT 25""")
 def rn_failure_sample(spark, sf_dir):
     return runs.failure_sample(Tables(spark, sf_dir).events.filter("event_type = 'purchase'").select("event_id", "user_id"), key="event_id")
+
+
+@query(f"""WITH c AS ({_COLS}) SELECT DISTINCT pipeline_id, node_id, "column" FROM c WHERE resource_fingerprint = 'file:///d/3' AND "column" IN ('c1', 'c2')""")
+def gr_resolve_columns(spark, sf_dir):
+    c = _columns(spark, sf_dir)
+    wanted = c.filter((F.col("resource_fingerprint") == "file:///d/3") & F.col("column").isin("c1", "c2")).select("resource_fingerprint", "column")
+    return lineage.resolve_columns(c, wanted)
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT dst FROM e WHERE src = 50 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT node, 'p' || node % 4 AS pipeline FROM r""")
+def gr_column_impact(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    owner = e.select(F.col("dst").alias("node"), F.concat(F.lit("p"), (F.col("dst") % 4).cast("string")).alias("pipeline"))
+    return lineage.column_impact(e, "50", owner, depth=60)
+
+
+@query(f"SELECT id, pipeline FROM ({_RUNS}) WHERE end_ms >= 700000")
+def gr_retained(spark, sf_dir):
+    return lineage.retained(_runs(spark, sf_dir), "end_ms", 700_000).select("id", "pipeline")

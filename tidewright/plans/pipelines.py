@@ -354,3 +354,48 @@ def flow_rfm_scores(spark, sf_dir):
 @query(_RFM + "SELECT segment, count(*) AS n, sum(r)::BIGINT AS r, sum(m)::BIGINT AS m FROM s GROUP BY segment")
 def flow_segment_summary(spark, sf_dir):
     return _rfm(spark, sf_dir).groupBy("segment").agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.sum("m").alias("m"))
+
+
+@query("""WITH t AS (SELECT event_id, value FROM events WHERE ts <= TIMESTAMP '2024-01-15'), s AS (SELECT event_id, value + 1 AS value FROM events WHERE ts > TIMESTAMP '2024-01-15' - INTERVAL 1 DAY)
+          SELECT * FROM s UNION ALL SELECT * FROM t WHERE event_id NOT IN (SELECT event_id FROM s)""")
+def inc_late_rows_merge(spark, sf_dir):
+    """Rows that came late are read again by the lookback, and merged so that repeats change nothing."""
+    e = Tables(spark, sf_dir).events
+    target = e.filter(F.col("ts") <= F.expr("timestamp_ntz '2024-01-15 00:00:00'")).select("event_id", "value")
+    source = incremental.incremental_filter(e, "ts", datetime(2024, 1, 15), back="P1D").select("event_id", (F.col("value") + 1).alias("value"))
+    return writes.merge(target, source, ["event_id"])
+
+
+@query("""WITH old AS (SELECT event_type AS node, max(event_id) AS mark FROM events WHERE event_id % 2 = 0 AND event_type <> 'click' GROUP BY 1), new AS (SELECT event_type AS node, max(event_id) AS mark FROM events WHERE event_type <> 'view' GROUP BY 1)
+          SELECT * FROM new UNION ALL SELECT * FROM old WHERE node NOT IN (SELECT node FROM new)""")
+def inc_state_upsert(spark, sf_dir):
+    e = Tables(spark, sf_dir).events
+    state = lambda d: d.groupBy(F.col("event_type").alias("node")).agg(F.max("event_id").alias("mark"))
+    return writes.merge(state(e.filter("event_id % 2 = 0 and event_type <> 'click'")), state(e.filter("event_type <> 'view'")), ["node"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def ud_python_batches(spark, sf_dir):
+    """A Python step on Arrow batches of each partition."""
+
+    def step(batches):
+        for pdf in batches:
+            yield pdf.assign(net=pdf.l_extendedprice * (1 - pdf.l_discount))[["l_orderkey", "l_linenumber", "net"]]
+
+    line = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+    return line.mapInPandas(step, "l_orderkey long, l_linenumber int, net double")
+
+
+@query("SELECT event_id, k FROM (SELECT event_id, unnest([json_extract_string(props, '$.k')::INTEGER, -1]) AS k FROM events)")
+def src_json_body_rows(spark, sf_dir):
+    """Bodies with an array of rows at a path."""
+    bodies = Tables(spark, sf_dir).events.select("event_id", F.concat(F.lit('{"data":{"items":['), F.col("props"), F.lit(',{"k":-1}]}}')).alias("body"))
+    items = F.from_json("body", "data struct<items: array<struct<k: int>>>")["data"]["items"]
+    return bodies.select("event_id", F.explode(items).alias("row")).select("event_id", "row.k")
+
+
+@query("SELECT v AS value, p AS position, count(o_orderkey) AS n FROM (VALUES ('F', 0), ('O', 1), ('X', 2)) t(v, p) LEFT JOIN orders ON o_orderstatus = v GROUP BY 1, 2")
+def bf_list_iterations(spark, sf_dir):
+    todo = backfill.list_iterations(spark, ["F", "O", "X"])
+    o = Tables(spark, sf_dir).orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return F.broadcast(todo).join(o, F.col("value") == F.col("o_orderstatus"), "left").select("value", "position", F.coalesce("n", F.lit(0)).alias("n"))
