@@ -17,10 +17,8 @@ LENGTH, GRAM = 200, 64
 GRAMS = LENGTH - GRAM + 1
 #: Window starts that are anchored together; bytes that are sorted together.
 BLOCK, SORTED = 1 << 22, 1 << 20
-#: Distinct contexts of one anchor that are sorted in one task; beyond it windows are counted by hash.
-CONTEXTS = 256
-#: Contexts whose places are broadcast to fetch their bytes; beyond it the join is shuffled.
-FETCH_ROWS = 400_000
+#: Distinct contexts of one anchor that fit into one sort; beyond it windows are counted by hash.
+CONTEXTS = SORTED // (LENGTH + GRAMS - 1)
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -169,7 +167,6 @@ def _run(row: str = "run") -> list:
 def fetched(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """The bytes of contexts (id, k1, k2, anchor, run, n, k)."""
     need = contexts.groupBy("id", "k1", "k2").agg(F.collect_list(F.struct("anchor", "run", "n", "k")).alias("runs")).select(F.col("id").alias("id_"), F.col("k1").alias("a_"), F.col("k2").alias("b_"), "runs")
-    need = F.broadcast(need) if contexts.count() <= FETCH_ROWS else need
     rows = docs.join(need, docs["id"].eqNullSafe(F.col("id_")) & (F.col("k1") == F.col("a_")) & (F.col("k2") == F.col("b_"))).select("k1", "k2", F.col("text").cast("binary").alias("raw"), F.explode("runs").alias("r"))
     span = _run("r.run")
     return rows.select("k1", "k2", F.col("r.anchor").alias("anchor"), F.col("r.run").alias("run"), F.col("r.n").alias("n"), F.col("r.k").alias("k"), F.substring("raw", (span[0] + 1).cast("int"), (span[1] - span[0]).cast("int")).alias("bytes"))
