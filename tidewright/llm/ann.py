@@ -168,9 +168,9 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
     x = np.stack([np.asarray(v, np.float64) for v in sample])
     lists = int(min(MOST_LISTS, max(LEAST_LISTS, n**0.5 / 2)))
     model = df.sparkSession.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True), lists, k))
-    entries = _encoded(all_, model)
-    spread = F.pmod(F.xxhash64("id"), F.lit(-(-n // BLOCK)))
-    blocks = entries.groupBy("list", spread.alias("block")).agg(F.collect_list(F.struct("id", "code")).alias("rows")).select("list", "block", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"))
+    entries = cut(_encoded(all_, model))
+    sizes = F.broadcast(entries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))  # MOST_LISTS rows at most
+    blocks = entries.join(sizes, "list").groupBy("list", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "code")).alias("rows")).select("list", "block", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"))
     asked = all_.filter(queries)
     pairs = _probes(asked, model).join(blocks, "list").select("list", "block", "queries", "vectors", "ids", "codes")
     best = _scanned(pairs, model, KEEP * k)
