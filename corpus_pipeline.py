@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one occurrence of each group of lines; documents of which nothing is left go."""
-    out = lines.dedup_lines(docs).filter((F.col("removed_") == 0) | (F.trim("text") != ""))
+    out = lines.dedup_lines(docs, grouped=lines.near_line_groups).filter((F.col("removed_") == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

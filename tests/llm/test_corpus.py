@@ -181,6 +181,31 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_near_lines_go(spark):
+    rng, base = random.Random(12), [" ".join(x.split()[:n]) for n in (3, 5, 8, 12, 25, 60) for x in texts(12, n, seed=n)] + ["漢字仮名交" * 9 + str(k) * 8 for k in range(3)]
+    near = []
+    for x in base:
+        w = x.split()
+        for _ in range(max(1, len(w) // 20)):
+            k = rng.randrange(len(w))
+            w[k] = w[k] + "s"
+        near.append(" ".join(w))
+    rows = base + near
+    norm = [x.lower() for x in rows]
+    want = list(range(len(rows)))
+    find = lambda k: k if want[k] == k else find(want[k])
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * abs(len(norm[i]) - len(norm[j])) <= max(len(norm[i]), len(norm[j])) and len(set(norm[i].split()) & set(norm[j].split())) * 2 + 2 >= len(norm[i].split()) and 10 * distance(norm[i], norm[j]) <= max(len(norm[i]), len(norm[j]))]
+    assert len(links) >= len(base)
+    for i, j in links:
+        i, j = find(i), find(j)
+        want[max(i, j)] = min(i, j)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, [(x, None) for x in rows]), grouped=lines.near_line_groups).collect()}
+    gone = {k for k in got if got[k] == ""}
+    must = {k for k in range(len(rows)) if find(k) != k}
+    assert gone <= must and len(gone) >= 0.95 * len(must)
+    assert lines.dedup_lines(frame(spark, []), grouped=lines.near_line_groups).count() == 0
+
+
 def test_simhash_and_pairs_match_brute_force(spark):
     t = texts(150, 12, seed=8)
     t += [" ".join(x.split()[:-1] + ["end"]) for x in t[:60]] + [" ".join(reversed(x.split())) for x in t[:5]]
