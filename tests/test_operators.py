@@ -1,5 +1,6 @@
 """Rules that the queries don't show: errors, nulls, repeats, idempotence."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -159,3 +160,18 @@ def test_database_rules(spark):
         database.read_table(spark, "jdbc:x", table="t", query="q")
     with pytest.raises(ValueError, match="can't hold"):
         database.write_table(spark.createDataFrame([([1],)], "a array<int>"), "jdbc:x", "t")
+
+
+def test_rest_reads_all_pages(spark, tmp_path):
+    for k in range(0, 6, 2):
+        (tmp_path / f"all-{k}.json").write_text(json.dumps([k, k + 1][: 1 if k == 4 else 2]))
+        (tmp_path / f"next-{k}.json").write_text(json.dumps({"rows": [k], "next": f"file://{tmp_path}/next-{k + 2}.json" if k < 4 else None}))
+    spark.dataSource.register(rest.RestSource)
+    read = lambda **o: sorted(int(r["row"]) for r in spark.read.format("rest_pages").options(**o).load().collect())
+    offset = {"url": f"file://{tmp_path}/all-{{offset}}.json", "limit": 2}
+    cursor = {"url": f"file://{tmp_path}/next-0.json", "data_path": "rows", "next_path": "next"}
+    assert read(**offset) == [0, 1, 2, 3, 4] and read(**cursor) == [0, 2, 4]
+    assert read(**offset, max_pages=3) == [0, 1, 2, 3, 4] and read(**cursor, max_pages=3) == [0, 2, 4]
+    for o in (offset, cursor):
+        with pytest.raises(Exception, match="max_pages"):
+            read(**o, max_pages=2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -30,10 +31,11 @@ def rows_at(body: str, path: str | None) -> list:
 
 class RestSource(DataSource):
     """Rows of JSON pages as text. Options: url (with {offset} and {limit}, or several separated by blanks), limit,
-    max_pages, pages_per_task, data_path, next_path (cursor pagination: the next address stands there).
+    max_pages (none: all pages), pages_per_task, data_path, next_path (cursor pagination: the next address stands there).
 
-    Offset pages are read in parallel, a range of pages a task; a page shorter than the limit ends its task's range. With a
-    cursor each address is one task.
+    Without max_pages each address is one task, which reads on until a page is shorter than the limit or there is no next
+    address. With it, offset pages are read in parallel, a range of pages a task; a page shorter than the limit ends its
+    task's range. An error is raised if max_pages ends a read that has more rows.
     """
 
     @classmethod
@@ -52,16 +54,19 @@ class RestReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[Pages]:
-        pages, step = int(self.options.get("max_pages", 1)), int(self.options.get("pages_per_task", 10))
-        if self.options.get("next_path"):
-            return [Pages(u, 0, pages) for u in self.options["url"].split()]
-        return [Pages(u, a, min(pages, a + step)) for u in self.options["url"].split() for a in range(0, pages, step)]
+        pages, step = self.options.get("max_pages"), int(self.options.get("pages_per_task", 10))
+        if pages is None or self.options.get("next_path"):
+            return [Pages(u, 0, sys.maxsize if pages is None else int(pages)) for u in self.options["url"].split()]
+        return [Pages(u, a, min(int(pages), a + step)) for u in self.options["url"].split() for a in range(0, int(pages), step)]
+
+    def page(self, url: str, page: int, limit: int) -> tuple[str, list]:
+        body = fetch(url.replace("{offset}", str(page * limit)).replace("{limit}", str(limit)))
+        return body, rows_at(body, self.options.get("data_path"))
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         limit, url = int(self.options.get("limit", 100)), partition.url
         for page in range(partition.first, partition.last):
-            body = fetch(url.replace("{offset}", str(page * limit)).replace("{limit}", str(limit)))
-            rows = rows_at(body, self.options.get("data_path"))
+            body, rows = self.page(url, page, limit)
             for r in rows:
                 yield page, json.dumps(r)
             if self.options.get("next_path"):
@@ -71,5 +76,21 @@ class RestReader(DataSourceReader):
                     return
                 if not url:
                     return
-            elif len(rows) < limit:
+            elif len(rows) < limit or "{offset}" not in url:
                 return
+        if partition.last == int(self.options["max_pages"]) and (self.options.get("next_path") or self.more(url, partition.last, limit)):
+            raise ValueError(f"max_pages = {partition.last} ends the read of {partition.url}, which has more rows")
+
+    def more(self, url: str, page: int, limit: int) -> bool:
+        """Whether a page after the last has rows; one that isn't found has none."""
+        from urllib.error import HTTPError, URLError
+
+        try:
+            return bool(self.page(url, page, limit)[1])
+        except HTTPError as e:
+            if e.code != 404:
+                raise
+        except URLError as e:
+            if not isinstance(e.reason, FileNotFoundError):
+                raise
+        return False
