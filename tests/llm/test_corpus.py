@@ -206,6 +206,22 @@ def test_near_lines_go(spark):
     assert lines.dedup_lines(frame(spark, []), grouped=lines.near_line_groups).count() == 0
 
 
+def test_pairs_meet_past_a_branched_root(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "LARGE", 6)
+    monkeypatch.setattr(nearjoin, "LEVELS", 3)
+    rng, rows, pairs = np.random.default_rng(6), [], set()
+    for p in range(20):  # a pair that shares 45 of 64 hashes, all roots among them, and strangers in its first root only
+        s = rng.integers(0, 1 << 32, (10, 64), dtype=np.uint64).astype("<u4")
+        s[:, 0] = s[0, 0]
+        same = np.r_[np.arange(12), 12 + rng.choice(52, 33, replace=False)]
+        s[1, same] = s[0, same]
+        rows += [(bytes([p, k]), 100, s[k].tobytes()) for k in range(10)]
+        pairs |= {bytes([p, 0]), bytes([p, 1])}
+    reps = spark.createDataFrame(rows, "key binary, n long, sig binary")
+    got = nearjoin.with_partners(nearjoin.leaves(reps).join(reps, "key")).collect()
+    assert {bytes(r["key"]) for r in got} == pairs
+
+
 def test_simhash_and_pairs_match_brute_force(spark):
     t = texts(150, 12, seed=8)
     t += [" ".join(x.split()[:-1] + ["end"]) for x in t[:60]] + [" ".join(reversed(x.split())) for x in t[:5]]

@@ -103,11 +103,11 @@ def branch(nodes: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def leaves(reps: DataFrame) -> DataFrame:
-    """Nodes to compare exhaustively: path, key, tree, side. Nodes of more than LARGE sets branch until they are smaller.
+    """Nodes to compare exhaustively: path, key, tree, side, branched. Nodes of more than LARGE sets branch until they are smaller.
 
     Leaves of more than LEAF sets, and those that are still large after LEVELS levels, are cut into blocks, and each pair
     of blocks is a node of its own (side tells the blocks apart), so no pair of a leaf is left out. tree is the root that
-    a node is, or -1 below the roots.
+    a node is, or -1 below the roots; branched has a bit for each root of the set that is too large to be compared whole.
     """
     roots = F.posexplode(F.array(*(F.xxhash64(F.lit(k), coordinate(F.col("sig"), F.lit(k))) for k in range(TREES))))
     nodes, found = reps.select(roots.alias("tree", "path"), "key"), None
@@ -119,11 +119,13 @@ def leaves(reps: DataFrame) -> DataFrame:
         some = sized.filter(F.col("size") <= least).withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         path = F.when(blocks == 1, F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
         side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-        some = some.select(path.alias("path"), "key", "tree", side.alias("side"))
+        some = some.select(path.alias("path"), "key", "tree", side.alias("side"), *([F.lit(0).alias("branched")] if level else []))
         found = some if found is None else found.unionByName(some)
         large = sized.filter(F.col("size") > least)
         if large.isEmpty():
-            return found
+            return found if level else found.withColumn("branched", F.lit(0))
+        if not level:
+            found = found.join(large.groupBy("key").agg(F.sum(F.expr("shiftleft(1, tree)")).cast("int").alias("branched")), "key", "left").select("path", "key", "tree", "side", F.coalesce("branched", F.lit(0)).alias("branched"))
         nodes = branch(large, reps).withColumn("tree", F.lit(-1))
 
 
@@ -148,16 +150,18 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def with_partners(rows: DataFrame) -> DataFrame:
-    """Keeps the rows (path, key, tree, side, n, sig) that may have a partner in their node by size and minwise estimate.
+    """Keeps the rows (path, key, tree, side, branched, n, sig) that may have a partner in their node by size and minwise estimate.
 
-    A pair that shares the token of an earlier root is compared there, so here only its first root counts.
+    A pair that shares the token of an earlier root is compared there, unless that root branched, so here only the first
+    root that it shares and that is compared whole counts.
     """
     schema = T.StructType([T.StructField("path", T.LongType()), T.StructField("key", T.BinaryType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_node(batches):
-            path, n, tree, side = (t.column(c).to_numpy() for c in ("path", "n", "tree", "side"))
+            path, n, tree, side, branched = (t.column(c).to_numpy() for c in ("path", "n", "tree", "side", "branched"))
+            whole = (branched[:, None] >> np.arange(TREES) & 1) == 0
             sig = _matrix(t.column("sig"))
             active = np.zeros(len(path), bool)
             step = 1
@@ -165,7 +169,7 @@ def with_partners(rows: DataFrame) -> DataFrame:
                 size = np.minimum(n[at], n[at + step]) * 100 >= PERCENT * np.maximum(n[at], n[at + step])
                 at = at[size & ((side[at] < 0) | (side[at] != side[at + step]))]
                 same = sig[at] == sig[at + step]
-                near = at[(same.mean(1) >= PERCENT / 100 - SLACK) & ((tree[at] < 0) | (same.argmax(1) == tree[at]))]
+                near = at[(same.mean(1) >= PERCENT / 100 - SLACK) & ((tree[at] < 0) | ((same[:, :TREES] & whole[at]).argmax(1) == tree[at]))]
                 active[near] = active[near + step] = True
                 step += 1
             yield pa.RecordBatch.from_arrays([pa.array(path[active]), t.column("key").combine_chunks().filter(pa.array(active)).cast(pa.binary())], schema=out)
