@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import itertools
 import os
 import random
 import re
@@ -171,16 +172,22 @@ def test_line_dedup(spark):
     df = frame(spark, [(t, None) for t in rows])
     got = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
     assert [got[k]["text"] for k in (0, 3, 4, 5)] == [rows[0], None, "", "\n\n"]
-    assert got[1]["text"] == "\n" + base[4] and got[6]["text"] == base[5] and got[7]["text"] == "other words"
-    prints = {(r["a"], r["b"]): r["print"] for r in lines.with_prints(df, "doc_id", "text").collect()}
-    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower()) if w]
-    a, b = " ".join(words(near)), " ".join(words(base[0]))
-    h = [tuple(r) for r in spark.createDataFrame([(words(near),), (words(base[0]),)], "w array<string>").select(F.xxhash64("w"), F.xxhash64("w", F.lit(1))).collect()]
-    linked = bin((prints[h[0]] ^ prints[h[1]]) & (1 << 64) - 1).count("1") <= 3 and distance(a, b) <= 0.1 * max(len(a), len(b))
-    assert got[2]["text"] == ("" if linked else near)
+    assert got[1]["text"] == "\n" + base[4] and got[2]["text"] == "" and got[6]["text"] == base[5] and got[7]["text"] == "other words"
+    assert [got[k]["removed_"] for k in range(8)] == [0, 1, 1, 0, 0, 0, 1, 1] and [got[k]["lines_"] for k in range(8)] == [3, 3, 1, 0, 1, 3, 2, 2]
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_edges(spark):
+    a, b = texts(2, 20, seed=14)
+    rows = [(None, a, "g", 1), (None, a, "g", 2), (3, b, "g", 3), (3, b, "g", 4), (4, a + "\n" + b, "g", 5), (5, " ".join([a] * 900), "g", 6), (6, " ".join([a] * 900) + " end", "g", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, removed_ int")
+    out = lines.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "gone", "lines_", "removed_"]
+    got = sorted(out.select(F.coalesce("doc_id", F.lit(-1)), "text", "gone", "removed_").collect())
+    # rows that share an id are one document and keep the same lines; the least id (null first) keeps a line
+    assert [tuple(r) for r in got] == [(-1, a, "g", 0)] * 2 + [(3, b, "g", 0)] * 2 + [(4, "", "g", 2), (5, rows[5][1], "g", 0), (6, "", "g", 1)]
+
+
 def test_near_lines_go(spark):
     rng, base = random.Random(12), [" ".join(x.split()[:n]) for n in (3, 5, 8, 12, 25, 60) for x in texts(12, n, seed=n)] + ["漢字仮名交" * 9 + str(k) * 8 for k in range(3)]
     near = []
@@ -199,11 +206,10 @@ def test_near_lines_go(spark):
     for i, j in links:
         i, j = find(i), find(j)
         want[max(i, j)] = min(i, j)
-    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, [(x, None) for x in rows]), grouped=lines.near_line_groups).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, [(x, None) for x in rows])).collect()}
     gone = {k for k in got if got[k] == ""}
     must = {k for k in range(len(rows)) if find(k) != k}
     assert gone <= must and len(gone) >= 0.95 * len(must)
-    assert lines.dedup_lines(frame(spark, []), grouped=lines.near_line_groups).count() == 0
 
 
 def test_pairs_meet_past_a_branched_root(spark, monkeypatch):
@@ -222,19 +228,40 @@ def test_pairs_meet_past_a_branched_root(spark, monkeypatch):
     assert {bytes(r["key"]) for r in got} == pairs
 
 
-def test_simhash_and_pairs_match_brute_force(spark):
-    t = texts(150, 12, seed=8)
-    t += [" ".join(x.split()[:-1] + ["end"]) for x in t[:60]] + [" ".join(reversed(x.split())) for x in t[:5]]
+def test_line_keys_match_brute_force(spark):
+    t = texts(60, 5, seed=8) + texts(60, 12, seed=9) + texts(20, 40, seed=10) + ["a b", "one", "漢字仮名交" * 9]
+    t += [" ".join(x.split()[:-1] + ["end"]) for x in t[:140]]
     df = frame(spark, [(x, None) for x in t])
-    got = {r["id"]: r["print"] & (1 << 64) - 1 for r in lines.with_prints(df, "doc_id", "text").collect()}
-    hashed = {r["w"]: r["h"] & (1 << 64) - 1 for r in df.select(F.explode(F.split("text", " ")).alias("w")).distinct().withColumn("h", F.xxhash64("w")).collect()}
-    for k, x in enumerate(t):
-        h = [hashed[w] for w in set(x.split())]
-        assert got[k] == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
-    prints = sorted(set(got.values()))
-    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    pairs = sorted(tuple(r) for r in lines.near_prints(spark.createDataFrame([(p,) for p in signed], "print long")).collect())
-    assert pairs == sorted((min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3)
+    got = {r["id"]: set(r["keys"]) for r in lines.keyed_lines(df, "doc_id", "text").collect()}
+    hashed = {r["w"]: r["h"] for r in df.select(F.explode(F.split("text", " ")).alias("w")).distinct().withColumn("h", F.xxhash64("w")).collect()}
+    for k, x in enumerate(t[:140]):
+        h = sorted((hashed[w] & (1 << 63) - 1) if len(w) <= lines.FREQUENT else (hashed[w] | -(1 << 63)) for w in set(x.split()))[: lines.BLOCKS]
+        want = set()
+        blocks = [[h[(a + j) % len(h)] for j in range(lines.BLOCK)] for a in range(len(h)) if len(h) >= lines.SHORT - 1]
+        blocks += itertools.combinations(h, lines.SHORT_BLOCK) if len(h) < lines.SHORT else []
+        for some in blocks:
+            want.add(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in some) > len(some)))
+        assert {v & (1 << 64) - 1 for v in got[k]} == want
+    for k in range(60, 140):  # one changed word leaves a block
+        assert got[k] & got[k + 143]
+
+
+def test_edit_similarity_matches_brute_force(spark):
+    rng, base = random.Random(5), texts(6, 60, seed=21) + [" ".join(["para"] * 300), " ".join(texts(1, 30, 3) * 12)]
+    t = list(base)
+    for x in base:
+        for n in (1, 2, 4, 8, 12):
+            w = x.split()
+            for _ in range(n):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randrange(2)] = rng.choice([[], ["new"], ["two", "more"]])
+            t.append(" ".join(w))
+    pairs = [(i, j) for i in range(len(t)) for j in range(i) if abs(len(t[i]) - len(t[j])) < 200]
+    rows = spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(t)], "a long, norm string, size int")
+    got = {tuple(r) for r in lines.edited(spark.createDataFrame(pairs, "x long, y long"), rows, 0.9).collect()}
+    c = duckdb.connect()
+    far = lambda i, j: c.execute("SELECT levenshtein(?, ?)", [t[i], t[j]]).fetchone()[0]
+    assert got == {(i, j) for i, j in pairs if 10 * far(i, j) <= max(len(t[i]), len(t[j]))}
 
 
 def test_search_recall_and_odd_vectors(spark):
