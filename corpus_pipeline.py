@@ -20,15 +20,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one occurrence of each group of lines; documents of which nothing is left go."""
-    out = lines.dedup_lines(docs, grouped=lines.near_line_groups).filter((F.col("removed_") == 0) | (F.trim("text") != ""))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Keeps one occurrence of each group of lines; documents of which nothing is left go.
+
+    Null and empty texts have no lines and stay. Rows that share an id are one document. An empty table gives no rows.
+    """
+    out = lines.dedup_lines(docs.withColumn("own_", F.struct(*docs.columns)))
+    out = out.filter((F.col("removed_") == 0) | (F.trim("text") != ""))
+    own = lambda c: F.col("text") if c == "text" else F.length("text").cast("long") if c == "n_chars" else F.col(f"own_.`{c}`")
+    return out.select(*(own(c).alias(c) for c in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    kept = nearjoin.near_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id_"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id_")), "left_semi")
+    """Keeps one document of each group of near-duplicates: the one of the least id, and of its texts the one of the least hash.
+
+    Repeated rows of one id and text are copies, so one of them stays. Null and empty texts are in no group: one row for
+    each id stays. An empty table gives no rows.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("doc_id", F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"), F.col("text").isNull().alias("none")).alias("key_"), F.struct(*docs.columns).alias("own_"))
+    kept = nearjoin.near_groups(rows.select("key_", F.col("own_.text").alias("text")), "key_").filter("kept").select(F.col("key_").alias("kept_"))
+    return rows.join(kept, rows["key_"].eqNullSafe(F.col("kept_")), "left_semi").dropDuplicates(["key_"]).select("own_.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
