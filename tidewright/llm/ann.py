@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +19,8 @@ TRAIN_VECTORS, LEAST_LISTS, MOST_LISTS = 20_000, 16, 4096
 PARTS, CODES = 32, 64
 #: Share of true neighbours whose lists must be visited, as measured on the sample, and the sample's queries for that.
 REACH, REACH_QUERIES = 0.97, 300
-#: Vectors in one block of a list; candidates of a block, and of a query, for each neighbour wanted.
-BLOCK, KEEP, RERANK = 2048, 8, 20
+#: Vectors in one block of a list, and queries that meet it together; candidates of a block, and of a query, for each neighbour wanted (ties beyond).
+BLOCK, QUERIES, KEEP, RERANK = 2048, 256, 8, 20
 
 
 def usable(vector: Column) -> Column:
@@ -95,48 +96,46 @@ def _encoded(df: DataFrame, model) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _probes(df: DataFrame, model) -> DataFrame:
-    """Queries by the lists that they visit: list, and the ids and unit vectors of some queries, packed."""
-    schema = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("queries", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
+def _probes(df: DataFrame, model, every: bool) -> DataFrame:
+    """The lists that each query visits (all of them if `every`): list, query, unit vector."""
+    schema = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("query", T.LongType()), T.StructField("unit", T.BinaryType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, k = model.value["coarse"], model.value["probes"]
+        c = model.value["coarse"]
+        k = len(c) if every else model.value["probes"]
         for b in batches:
             if not b.num_rows:
                 continue
-            x, ids = unit(b.column(1)), b.column(0).to_numpy().astype("<i8")
+            x = unit(b.column(1))
             near = np.argsort((c * c).sum(1) - 2 * x @ c.T, 1, kind="stable")[:, :k]
-            rows = [(int(at), ids[who].tobytes(), x[who].tobytes()) for at in np.unique(near) for who in [np.flatnonzero((near == at).any(1))]]
-            yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows), out)], schema=out)
+            which = pa.array(np.repeat(np.arange(len(x)), k))
+            yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), b.column(0).cast(pa.int64()).take(which), pa.array([v.tobytes() for v in x], pa.binary()).take(which)], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
 def _scanned(pairs: DataFrame, model, keep: int) -> DataFrame:
-    """Approximate scores of some queries against a block of codes: the best `keep` for each query. A query's table of part distances makes a score PARTS lookups."""
-    hit = T.StructType([T.StructField("near", T.DoubleType()), T.StructField("id", T.LongType())])
-    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("block", T.LongType()), T.StructField("hits", T.ArrayType(hit))])
+    """Approximate distances of some queries from a block of codes: the least `keep` of each query, and all that equal the last. A query's table of part distances makes a distance PARTS lookups."""
+    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("id", T.LongType()), T.StructField("near", T.DoubleType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            for at, block, queries, vectors, ids, codes in zip(*(b.column(k) for k in range(6))):
-                queries = np.frombuffer(queries.as_py(), "<i8")
-                vectors = np.frombuffer(vectors.as_py(), np.float64).reshape(len(queries), -1)
-                ids = np.array(ids.as_py(), np.int64)
+            for at, queries, units, ids, codes in zip(*(b.column(k) for k in range(5))):
+                queries, ids = queries.values.to_numpy(), ids.values.to_numpy()
+                vectors = np.frombuffer(b"".join(units.as_py()), np.float64).reshape(len(queries), -1)
                 code = np.frombuffer(b"".join(codes.as_py()), np.uint8).reshape(-1, PARTS).T.astype(np.int64)
-                rows = []
+                found = []
                 for q, residual in zip(queries.tolist(), split(vectors - m["coarse"][at.as_py()])):
                     distances = ((residual[:, None] - m["books"]) ** 2).sum(2)
                     d = np.zeros(len(ids))
                     for p in range(PARTS):
                         d += distances[p].take(code[p])
-                    d[ids == q] = np.inf
-                    best = np.arange(len(ids)) if len(ids) <= keep else np.argpartition(d, keep - 1)[:keep]
-                    rows.append([{"near": x, "id": i} for x, i in zip(d[best].tolist(), ids[best].tolist()) if x < np.inf])
-                yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array([block.as_py()] * len(queries), pa.int64()), pa.array(rows, out[2].type)], schema=out)
+                    best = np.arange(len(ids)) if len(ids) <= keep else np.flatnonzero(d <= np.partition(d, keep - 1)[keep - 1])
+                    found.append((np.full(len(best), q), ids[best], d[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=out)
 
     return pairs.mapInArrow(run, schema)
 
@@ -147,44 +146,80 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def least(rows: DataFrame, by: list[str], value: Column, most: int) -> DataFrame:
+    """The `most` least values of each group, as an array `least`. Two levels, so that no array grows with the group."""
+    part = rows.select(*by, value.alias("v_"), F.pmod(F.xxhash64(value), F.lit(32)).alias("part_"))
+    for keys in ([*by, "part_"], by):
+        part = part.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("v_")) if keys == by else F.collect_list("v_")), 1, most).alias("v_"))
+    return part.withColumnRenamed("v_", "least")
+
+
+def _ranked(asked: DataFrame, reps: DataFrame, copies: DataFrame, blocks: DataFrame, model, k: int, every: bool) -> DataFrame:
+    """For each distinct query vector (query: its representative): top, its k + 1 nearest rows with their scores, its own copies among them."""
+    probes = cut(_probes(asked.select("query", "vector"), model, every))
+    many = F.broadcast(probes.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("chunks")))  # a row for each list
+    chunks = probes.join(many, "list").groupBy("list", F.pmod(F.xxhash64("query"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("query", "unit")).alias("rows"))
+    pairs = chunks.join(blocks, "list").select("list", F.col("rows.query").alias("queries"), F.col("rows.unit").alias("units"), "ids", "codes")
+    found = cut(_scanned(pairs, model, KEEP * k))
+    far = least(found, ["query"], F.col("near"), RERANK * k).select("query", F.element_at("least", -1).alias("far"))
+    best = found.join(far, "query").filter("near <= far").select("query", "id").unionByName(asked.select("query", F.col("query").alias("id"))).distinct()
+    both = best.join(asked.select("query", F.col("vector").alias("mine")), "query").join(reps.select("id", "vector"), "id")
+    scored = both.select("query", F.struct((-cosine(F.col("mine"), F.col("vector"))).alias("s"), F.col("id").alias("i")).alias("hit"))
+    near = least(scored, ["query"], F.col("hit"), k + 1).select("query", F.explode("least").alias("hit"))
+    rows = near.join(copies.select(F.col("rep").alias("at"), "id"), F.col("hit.i") == F.col("at")).select("query", F.struct("hit.s", F.col("id").alias("i")).alias("hit"))
+    return least(rows, ["query"], F.col("hit"), k + 1).withColumnRenamed("least", "top")
+
+
 def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """For each row that satisfies `queries` (a condition on the id), its `k` nearest other rows by cosine: query_id, rank, vec_id, score.
+    """For each row that satisfies `queries` (a condition on the columns of `df`), its `k` nearest other rows by cosine: query_id, rank, vec_id, score.
+
+    Every usable vector is indexed; null or zero vectors, those with null or non-finite components, and those of another
+    length than most have take no part. Ids are integers; a null id takes no part; rows that repeat an id count as one, the
+    one of the greatest vector. Scores are exact, on the original vectors; ties go to the smaller id. With fewer rows than
+    `k` all are returned; an empty table gives no rows.
 
-    Every usable vector is indexed; null or zero vectors, and those with null or non-finite components, take no part. Ids
-    are integers; rows that repeat an id count as one, the one of the greatest vector. Scores are exact, on the original
-    vectors; ties go to the smaller id. With fewer rows than `k` all are returned; an empty table gives no rows.
+    Equal vectors are one entry of the index, with their k + 1 smallest ids, which are put in after reranking; so groups of
+    copies of any size cost nothing. Candidates that tie at a cut all stay. Queries that find too few rows in the lists
+    that they visit visit all lists.
 
     The index is fitted on at most TRAIN_VECTORS vectors (lowest hash of the id). The number of lists grows with the root
-    of the number of vectors, up to MOST_LISTS. Lists are stored in blocks of about BLOCK codes, so a list that holds a
-    third of all vectors is many rows; each (query, block) gives RERANK * k candidates at most, which are reranked.
+    of the number of vectors, up to MOST_LISTS. Lists are stored in blocks of about BLOCK codes, which meet QUERIES queries
+    at a time, so a list that holds a third of all vectors is many rows.
     """
-    all_ = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id").agg(F.max("vector").alias("vector"))
-    all_ = cut(all_)
-    n = all_.count()
-    if not n:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    last = all_.select(F.xxhash64("id").alias("h")).orderBy("h").limit(TRAIN_VECTORS).agg(F.max("h")).first()[0]
-    sample = all_.filter(F.xxhash64("id") <= last).orderBy("id").limit(TRAIN_VECTORS).select("vector").toPandas()["vector"]
+    spark = df.sparkSession
+    all_ = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked"))
+    all_ = all_.filter(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id").agg(F.max("vector").alias("vector"), F.max("asked").alias("asked"))
+    width = all_.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
+    if width is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    all_ = cut(all_.filter(F.size("vector") == width["w"]).withColumn("key", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64("vector", F.lit(1)).alias("b"))))
+    place = F.row_number().over(W.partitionBy("key").orderBy("id"))
+    copies = all_.withColumn("place", place).filter(F.col("place") <= k + 1)  # cut before the shuffle too
+    reps = cut(copies.filter("place = 1").select("id", "key", "vector"))
+    copies = cut(copies.select("id", "key").join(reps.select("key", F.col("id").alias("rep")), "key").select("id", "rep"))
+    n = reps.count()
+    last = reps.select(F.xxhash64("id").alias("h")).orderBy("h").limit(TRAIN_VECTORS).agg(F.max("h")).first()[0]
+    sample = reps.filter(F.xxhash64("id") <= last).orderBy("id").limit(TRAIN_VECTORS).select("vector").toPandas()["vector"]
     x = np.stack([np.asarray(v, np.float64) for v in sample])
     lists = int(min(MOST_LISTS, max(LEAST_LISTS, n**0.5 / 2)))
-    model = df.sparkSession.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True), lists, k))
-    entries = cut(_encoded(all_, model))
+    model = spark.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True), lists, k))
+    entries = cut(_encoded(reps.select("id", "vector"), model))
     sizes = F.broadcast(entries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))  # MOST_LISTS rows at most
-    blocks = entries.join(sizes, "list").groupBy("list", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "code")).alias("rows")).select("list", "block", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"))
-    asked = all_.filter(queries)
-    pairs = _probes(asked, model).join(blocks, "list").select("list", "block", "queries", "vectors", "ids", "codes")
-    best = _scanned(pairs, model, KEEP * k)
-    for keys in (["query", F.pmod("block", F.lit(64)).alias("block")], ["query"]):  # two levels, so no group grows with all blocks
-        best = best.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, RERANK * k).alias("hits"))
-    best = best.select("query", F.explode("hits.id").alias("id"))
-    a = best.join(asked.select(F.col("id").alias("query"), F.col("vector").alias("mine")), "query").join(all_, "id")
-    scored = a.select("query", "id", cosine(F.col("mine"), F.col("vector")).alias("score"))
-    ranked = scored.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))), 1, k).alias("top"))
-    return ranked.select(F.col("query").alias("query_id"), F.posexplode("top").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.i").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    blocks = entries.join(sizes, "list").groupBy("list", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "code")).alias("rows")).select("list", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"))
+    who = all_.filter("asked").select(F.col("id").alias("query_id"), "key").join(reps.select("key", F.col("id").alias("query")), "key").select("query_id", "query")
+    asked = cut(who.select("query").distinct().join(reps.select(F.col("id").alias("query"), "vector"), "query"))
+    top = cut(_ranked(asked, reps, copies, blocks, model, k, False))
+    short = cut(asked.join(top.filter(F.size("top") > k).select("query"), "query", "left_anti"))
+    if n > 1 and not short.isEmpty():
+        again = _ranked(short, reps, copies, blocks, model, k, True)
+        top = top.join(short.select("query"), "query", "left_anti").unionByName(again)
+    others = F.slice(F.filter("top", lambda h: h["i"] != F.col("query_id")), 1, k)
+    out = who.join(top, "query").select("query_id", F.posexplode(others).alias("at", "hit"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.i").alias("vec_id"), (-F.col("hit.s")).alias("score"))
 
 
 def _op8(spark, sf_dir):
-    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def queries() -> dict:
