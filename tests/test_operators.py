@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import parameters
 from tidewright.operators import assertions as dq
-from tidewright.operators import incremental, lineage, profile, snapshots, writes
+from tidewright.operators import backfill, incremental, lineage, profile, snapshots, writes
 from tidewright.operators.joins import band_join
 from tidewright.operators.select import columns_matching, exclude
 from tidewright.sources import database, files, rest
+from tidewright.streaming import jobs
 
 
 def values(df):
@@ -175,3 +176,42 @@ def test_rest_reads_all_pages(spark, tmp_path):
     for o in (offset, cursor):
         with pytest.raises(Exception, match="max_pages"):
             read(**o, max_pages=2)
+
+
+def test_partitioned_table_keeps_rows(spark, tmp_path):
+    t = writes.ParquetTable(spark, str(tmp_path / "p"))
+    a, b = (spark.createDataFrame([(k, v, "x")], "k int, v string, p string") for k, v in ((1, "a"), (2, "b")))
+    t.write(a, "append", partition="p")
+    t.write(b, "append", partition="p")
+    assert values(t.read()) == [(1, "a", "x"), (2, "b", "x")]
+    got = t.write(a.withColumn("v", F.lit("c")), "merge", ["k"], partition="p", watermark="k")
+    assert values(t.read()) == [(1, "c", "x"), (2, "b", "x")]
+    assert (got["rows_scanned"], got["rows_updated"], got["rows_inserted"], got["watermark_before"], got["watermark_after"]) == (1, 1, 0, "2", "1")
+    t.write(b.withColumn("v", F.lit("d")), "insert_overwrite", partition="p")
+    assert values(t.read()) == [(2, "d", "x")]
+    (tmp_path / "p").rename(tmp_path / "p.old")  # a crash between the two renames
+    assert values(t.read()) == [(2, "d", "x")] and not (tmp_path / "p.old").exists()
+
+
+def test_scd_ids_differ(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", "b|c"), ("a|b", "c")], "x string, y string")
+    ids = {r["scd_id"] for at in (datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 0, 1)) for r in snapshots.first_snapshot(df, ["x", "y"], at).collect()}
+    assert len(ids) == 8
+
+
+def test_replayed_batch_adds_nothing(spark, tmp_path):
+    results, bad = (writes.ParquetTable(spark, str(tmp_path / n)) for n in ("results", "bad"))
+    each = jobs.check_into([dq.expression_true("k > 1")], results, bad)
+    for _ in range(2):
+        each(spark.createDataFrame([(1,), (2,)], "k int"), 0)
+    assert (results.read().count(), bad.read().count()) == (1, 1)
+
+
+def test_drift_and_placeholder_errors(spark):
+    e = spark.createDataFrame([(1,)], "a int")
+    with pytest.raises(ValueError, match="policy"):
+        incremental.drift_actions(incremental.schema_diff(e, e), "other")
+    with pytest.raises(ValueError, match="placeholder"):
+        backfill.placeholders("a > $iteration.none", e)
+    assert backfill.placeholders("b > $iteration.a", e) == "b > `a`"
+    assert incremental.drift_action(incremental.schema_diff(e, e.withColumn("b", F.lit(1))), "sync_all_columns") == "alter"

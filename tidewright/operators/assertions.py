@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,22 +75,47 @@ def violations(df: DataFrame, rule: Rule) -> DataFrame:
     return n.filter((F.col("row_count") < least if least is not None else F.lit(False)) | (F.col("row_count") > most if most is not None else F.lit(False)))
 
 
-def failing_sample(df: DataFrame, rule: Rule, n: int = 25) -> DataFrame:
-    return violations(df, rule).limit(n)
+def failing_sample(df: DataFrame, rule: Rule, n: int = 25, key: str | None = None) -> DataFrame:
+    """At most n violating rows or groups, the first by the key if there is one."""
+    bad = violations(df, rule)
+    return (bad.orderBy(key) if key else bad).limit(n)
+
+
+def _compiles(df: DataFrame, rule: Rule) -> str | None:
+    """What keeps a rule from being planned, or None."""
+    try:
+        violations(df, rule).schema  # noqa: B018 (plans the rule, runs nothing)
+    except AnalysisException as e:
+        return e.getMessage() or str(e)
+    return None
 
 
 def run_suite(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """name, severity, passed, violation_count, message for each rule."""
-    row_level = [r for r in rules if r.bad is not None]
-    counts = []
-    if row_level:
-        named = [F.struct(F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.count_if(r.bad).alias("violation_count")) for r in row_level]
-        counts.append(df.agg(F.array(*named).alias("all_")).select(F.explode("all_").alias("r")).select("r.*"))
-    for r in rules:
-        if r.bad is None:
-            counts.append(violations(df, r).agg(F.count("*").alias("violation_count")).select(F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), "violation_count"))
+    """name, severity, passed, violation_count, message for each rule. A rule that can't be planned has failed with one violation.
+
+    Rules on rows and on their number share one pass; rules on groups and queries have one each.
+    """
+    broken = {k: e for k, r in enumerate(rules) if (e := _compiles(df, r)) is not None}
+    row = lambda r, n, note: F.struct(F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), n.cast("long").alias("violation_count"), F.lit(note).cast("string").alias("note"))
+    n, counts = F.count(F.lit(1)), []
+    shared = []
+    for k, r in enumerate(rules):
+        if k in broken:
+            shared.append(row(r, F.coalesce(F.max(F.lit(1)), F.lit(1)), broken[k].splitlines()[0]))
+        elif r.bad is not None:
+            shared.append(row(r, F.count_if(r.bad), None))
+        elif not r.keys and not r.query:
+            least, most = r.rows
+            out = (n < least if least is not None else F.lit(False)) | (n > most if most is not None else F.lit(False))
+            shared.append(row(r, out.cast("int"), None))
+        else:
+            counts.append(violations(df, r).agg(row(r, n, None).alias("r")).select("r.*"))
+    if shared:
+        counts.insert(0, df.agg(F.array(*shared).alias("all_")).select(F.explode("all_").alias("r")).select("r.*"))
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
-    passed = F.col("violation_count") == 0
-    return out.select("name", "severity", passed.alias("passed"), "violation_count", F.when(passed, "ok").otherwise(F.concat(F.col("violation_count").cast("string"), F.lit(" violations"))).alias("message"))
+    count = F.coalesce("violation_count", F.lit(1))
+    passed = count == 0
+    message = F.when(F.col("note").isNotNull(), F.concat(F.lit("can't be planned: "), F.col("note"))).when(passed, "ok").otherwise(F.concat(count.cast("string"), F.lit(" violations")))
+    return out.select("name", "severity", passed.alias("passed"), count.alias("violation_count"), message.alias("message"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,25 @@ def query_iterations(df: DataFrame) -> DataFrame:
 
 
 def assign(facts: DataFrame, iterations: DataFrame, at: str) -> DataFrame:
-    """Facts with the iteration that holds their time: one range join with the (small) list of iterations."""
-    return facts.join(iterations, (facts[at] >= iterations["start"]) & (facts[at] < iterations["end"]))
+    """Facts with the iteration that holds their time (start <= time < end). Iterations may overlap and differ in length.
+
+    An iteration stands on each day that it touches, so the join has an equal key, whatever the number of either side.
+    """
+    day = lambda c: F.to_date(c)
+    days = iterations.withColumn("day_", F.explode(F.sequence(day(F.col("start")), day(F.col("end")), F.expr("interval 1 day"))))
+    held = (facts[at] >= days["start"]) & (facts[at] < days["end"])
+    return facts.join(days, (day(facts[at]) == days["day_"]) & held).drop("day_")
+
+
+def placeholders(text: str, iterations: DataFrame) -> str:
+    """An expression in which $iteration.start, .end, .value or any other column of the iterations stands for that column. An unknown name is an error."""
+
+    def column(m: re.Match) -> str:
+        if m[1] not in iterations.columns:
+            raise ValueError(f"unknown placeholder: $iteration.{m[1]}")
+        return f"`{m[1]}`"
+
+    return re.sub(r"\$iteration\.(\w+)", column, text)
 
 
 def pending(iterations: DataFrame, status: DataFrame) -> DataFrame:

@@ -49,9 +49,12 @@ def max_watermark(df: DataFrame, column: str) -> DataFrame:
 def shared_watermarks(states: DataFrame) -> DataFrame:
     """For each source of several sinks: the least stored value, typed; none if a sink has no state; the greatest lookback.
 
-    states: source, sink, watermark_column, value, lookback_seconds. Sinks that differ in the column are an error.
+    states: source, sink, watermark_column, value, lookback_seconds. Sinks that differ in the column, or in its type where states have
+    watermark_type, are an error.
     """
     same = F.count_distinct("watermark_column") == 1
+    if "watermark_type" in states.columns:
+        same = same & (F.count_distinct("watermark_type") <= 1)
     least = F.when(F.count_if(F.col("value").isNull()) == 0, F.min("value"))
     ok = F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("sinks of one source differ in their watermark column")).cast("boolean"))
     return states.groupBy("source").agg(least.alias("value"), F.max("lookback_seconds").alias("lookback_seconds"), ok.alias("ok")).filter("ok").drop("ok")
@@ -74,9 +77,28 @@ def schema_fingerprint(df: DataFrame) -> DataFrame:
     return schema_table(df).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(pair)), "\x1e").cast("binary"), 256).alias("fingerprint"))
 
 
+POLICIES = ("fail", "ignore", "append_new_columns", "sync_all_columns")
+
+
+def drift_actions(diff: DataFrame, policy: str) -> DataFrame:
+    """What a policy does on each change of `schema_diff`: proceed, alter (the target gets or loses the column) or abort; adds action.
+
+    ignore proceeds with all; fail aborts at any change; the others abort at a changed type, alter for an added column and
+    proceed without a removed one (sync_all_columns alters for it). Another policy is an error.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"no such drift policy: {policy}")
+    removed = "alter" if policy == "sync_all_columns" else "proceed"
+    rest = F.when(F.col("change") == "type_changed", "abort").when(F.col("change") == "added", "alter").otherwise(removed)
+    return diff.withColumn("action", F.lit({"ignore": "proceed", "fail": "abort"}[policy]) if policy in ("ignore", "fail") else rest)
+
+
+def drift_action(diff: DataFrame, policy: str) -> str:
+    """The action for all changes together: abort before alter before proceed."""
+    found = {r["action"] for r in drift_actions(diff, policy).select("action").distinct().collect()}  # three actions at most
+    return next((a for a in ("abort", "alter") if a in found), "proceed")
+
+
 def drift_allowed(diff: DataFrame, policy: str) -> bool:
-    """Whether a change may go on: ignore takes all; a changed type stops; fail stops at any; the others take added and removed columns."""
-    changes = {r["change"] for r in diff.select("change").distinct().collect()}  # three kinds at most
-    if policy == "ignore" or not changes:
-        return True
-    return policy in ("append_new_columns", "sync_all_columns") and "type_changed" not in changes
+    """Whether a change may go on."""
+    return drift_action(diff, policy) != "abort"

@@ -169,3 +169,14 @@ def column_impact(edges: DataFrame, start: str, owner: DataFrame, depth: int = 1
     """Columns below one, with their pipelines: owner (node, pipeline)."""
     below = trace(edges, start, depth=depth).select(F.col("dst").alias("node")).distinct()
     return below.join(owner.distinct(), "node", "left").select("node", "pipeline")
+
+
+def pipeline_impact(edges: DataFrame, owner: DataFrame, pipeline: str) -> DataFrame:
+    """Pipelines below one, with the number of their nodes that it reaches: owner (node, pipeline)."""
+    below = reachable(edges, owner.filter(F.col("pipeline") == pipeline).select("node"))
+    return below.join(owner.distinct(), "node").groupBy("pipeline").agg(F.count("*").alias("nodes"))
+
+
+def replace_edges(stored: DataFrame, fresh: DataFrame, node: str = "node") -> DataFrame:
+    """The stored column edges with all edges of the nodes in `fresh` replaced at once."""
+    return stored.join(fresh.select(node).distinct(), node, "left_anti").select(*stored.columns).unionByName(fresh.select(*stored.columns))

@@ -27,3 +27,24 @@ def rank_quintile(df: DataFrame, col: str, key: str) -> DataFrame:
     ranked = with_rank(df, col, key)
     five = F.floor(F.col("rank_") / F.col("count_") * 5)
     return ranked.withColumn("quintile", F.least(F.lit(5), F.greatest(F.lit(1), five)).cast("int")).drop("rank_", "count_")
+
+
+def percentiles(df: DataFrame, by: str, col: str, between: dict[str, float], at: dict[str, float]) -> DataFrame:
+    """Exact percentiles of a column for each group: `between` interpolates, `at` takes a value that stands there. Nulls don't count.
+
+    Equal values are counted first. Then values are range-partitioned; each partition counts its own rows of a group, the
+    counts of those before are added, and only the values around the wanted places are kept.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(by, col).agg(F.count("*").alias("n_"))
+    parts = cut(counts.repartitionByRange(F.col(col)).withColumn("part_", F.spark_partition_id()))
+    sizes = parts.groupBy(by, "part_").agg(F.sum("n_").alias("size_"))  # a row for each partition of a group
+    group = W.partitionBy(by)
+    before = sizes.select(F.col(by).alias("by_"), F.col("part_").alias("at_"), F.coalesce(F.sum("size_").over(group.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("size_").over(group).alias("count_"))
+    upto = F.sum("n_").over(W.partitionBy(by, "part_").orderBy(col).rowsBetween(W.unboundedPreceding, 0))
+    ranked = parts.withColumn("upto_", upto).join(before, F.col(by).eqNullSafe(F.col("by_")) & (F.col("part_") == F.col("at_"))).withColumn("upto_", F.col("upto_") + F.col("before_"))
+    low = {n: F.floor((F.col("count_") - 1) * q) for n, q in between.items()}
+    place = {**{f"{n}_lo_": low[n] for n in between}, **{f"{n}_hi_": F.ceil((F.col("count_") - 1) * q) for n, q in between.items()}, **{f"{n}_at_": F.greatest(F.lit(0), F.ceil(F.col("count_") * q) - 1) for n, q in at.items()}}
+    stands = lambda k: (F.col("upto_") > k) & (F.col("upto_") - F.col("n_") <= k)
+    found = ranked.groupBy(by).agg(*(F.max(F.when(stands(k), F.col(col))).alias(n) for n, k in place.items()), F.max("count_").alias("count_"))
+    part = lambda n, q: (F.col("count_") - 1) * q - F.floor((F.col("count_") - 1) * q)
+    return found.select(by, *((F.col(f"{n}_lo_") + (F.col(f"{n}_hi_") - F.col(f"{n}_lo_")) * part(n, q)).alias(n) for n, q in between.items()), *(F.col(f"{n}_at_").alias(n) for n in at))

@@ -57,6 +57,15 @@ def all_tags(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("tags").alias("tag")).distinct()
 
 
+def with_owner(rows: DataFrame, owner: str) -> DataFrame:
+    return rows.filter(F.col("owner") == owner)
+
+
+def all_owners(rows: DataFrame) -> DataFrame:
+    """Owners with the number of resources they have; none for resources without one."""
+    return rows.filter(F.col("owner").isNotNull()).groupBy("owner").agg(F.count("*").alias("resources"))
+
+
 def resolve_environment(tables: DataFrame, chain: list[str]) -> DataFrame:
     """The location of each table in the first environment of the chain that has it: tables (table, environment, location)."""
     place = F.array_position(F.array(*map(F.lit, chain)), F.col("environment"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,3 +74,13 @@ def failure_sample(rows: DataFrame, n: int = 25, key: str | None = None) -> Data
     """Up to n input rows as JSON (500 at most), the first by the key."""
     some = (rows.orderBy(key) if key else rows).limit(min(n, 500))
     return some.select(F.to_json(F.struct("*")).alias("row"))
+
+
+def failure_report(inputs: dict[str, DataFrame], n: int = 25, keys: dict[str, str] | None = None) -> DataFrame:
+    """For each input of a failed node: input, total_rows, schema, and a sample of rows as JSON (an array, by the key if there is one)."""
+    out = []
+    for name, rows in inputs.items():
+        sample = failure_sample(rows, n, (keys or {}).get(name)).agg(F.array_sort(F.collect_list("row")).alias("sample"))  # at most 500 rows
+        total = rows.agg(F.lit(name).alias("input"), F.count("*").alias("total_rows"), F.lit(rows.schema.simpleString()).alias("schema"))
+        out.append(total.join(F.broadcast(sample)))
+    return reduce(DataFrame.unionByName, out)

@@ -36,7 +36,9 @@ def classify(target: DataFrame, stage: DataFrame, keys: list[str], check: list[s
 
 
 def scd_id(now: Column, keys: list[Column]) -> Column:
-    return F.md5(F.concat_ws("|", F.date_format(now, "yyyy-MM-dd HH:mm:ss"), *(k.cast("string") for k in keys)).cast("binary"))
+    """Digest of the time (to the microsecond) and the keys. Each key carries its length, and null is told from any text."""
+    part = lambda k: F.coalesce(F.concat(F.octet_length(k.cast("string")).cast("string"), F.lit(":"), k.cast("string")), F.lit("-"))
+    return F.md5(F.concat_ws("|", F.date_format(now, "yyyy-MM-dd HH:mm:ss.SSSSSS"), *map(part, keys)).cast("binary"))
 
 
 def first_snapshot(stage: DataFrame, keys: list[str], now) -> DataFrame:
@@ -86,6 +88,17 @@ def versions_per_day(target: DataFrame) -> DataFrame:
     return target.groupBy(F.date_trunc("day", "valid_from").alias("day")).agg(F.count("*").alias("versions"))
 
 
+def ever_held(target: DataFrame, keys: list[str], column: str, value) -> DataFrame:
+    """Keys of which any version held the value."""
+    return target.filter(F.col(column).eqNullSafe(F.lit(value))).select(*keys).distinct()
+
+
+def diff_sample(rows: DataFrame, keys: list[str], most: int = 50) -> DataFrame:
+    """At most `most` keys that aren't unchanged, the first by key: class and the keys."""
+    at = lambda k: F.when(F.col("class") == "gone", F.col(f"c.{k}")).otherwise(F.col(f"s.{k}")).alias(k)
+    return rows.filter("class <> 'unchanged'").select("class", *map(at, keys)).orderBy(*keys).limit(most)
+
+
 def diff_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("class").agg(F.count("*").alias("n"))
 

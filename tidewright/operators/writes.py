@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,7 +77,10 @@ def merge_receipt(target: DataFrame, source: DataFrame, keys: list[str], order:
 
 
 class ParquetTable:
-    """A Parquet folder. A rewrite goes to a folder beside it, which is then put in its place."""
+    """A Parquet folder, with or without a partition column. A rewrite goes to a folder beside it, which is then put in its place.
+
+    A crash between the two renames leaves the old table or a whole new one aside; the next use puts it back (`recover`).
+    """
 
     STRATEGIES = ("append", "truncate_insert", "merge", "delete_insert", "insert_overwrite")
 
@@ -84,54 +89,93 @@ class ParquetTable:
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._at = spark._jvm.org.apache.hadoop.fs.Path
 
+    def _there(self, path: str) -> bool:
+        return self._fs.exists(self._at(path))
+
+    def recover(self) -> None:
+        """Ends a rewrite that was cut off: a whole new folder takes the empty place, else the old one goes back."""
+        aside, old = f"{self.path}.new", f"{self.path}.old"
+        if self._there(old):
+            if not self._there(self.path):
+                self._fs.rename(self._at(aside if self._there(f"{aside}/_SUCCESS") else old), self._at(self.path))
+            self._fs.delete(self._at(old), True)
+
     def exists(self) -> bool:
-        return self._fs.exists(self._at(self.path))
+        self.recover()
+        return self._there(self.path)
 
     def read(self) -> DataFrame:
+        self.recover()
         return self.spark.read.parquet(self.path)
 
-    def replace(self, df: DataFrame, **options) -> None:
+    def replace(self, df: DataFrame, partition: str | None = None, **options) -> None:
         aside, old = f"{self.path}.new", f"{self.path}.old"
-        df.write.mode("overwrite").parquet(aside, **options)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition) if partition else writer).parquet(aside, **options)
         if self.exists():
             self._fs.rename(self._at(self.path), self._at(old))
         self._fs.rename(self._at(aside), self._at(self.path))
         self._fs.delete(self._at(old), True)
 
-    def write(self, df: DataFrame, strategy: str, keys: list[str] | None = None, order: str | None = None, partition: str | None = None, add_columns: bool = False) -> dict:
-        """Writes by a strategy; gives a receipt of counts. An empty first write of any kind makes the table."""
+    def write(self, df: DataFrame, strategy: str, keys: list[str] | None = None, order: str | None = None, partition: str | None = None, add_columns: bool = False, watermark: str | None = None, observed: bool = True) -> dict | None:
+        """Writes by a strategy; gives a receipt. An empty first write of any kind makes the table.
+
+        The receipt has strategy, mode (batch), rows_scanned (of `df`), rows_written, rows_inserted, rows_updated,
+        rows_deleted (None where replaced partitions aren't counted), rows_filtered (scanned, not written),
+        watermark_before and watermark_after (the greatest value of the column `watermark`), schema_diff and duration_s.
+        All counts are observed while the rows are written, so the plan runs once. Without `observed` (batches of a stream,
+        whose sessions report nothing) there is no receipt.
+        """
         if strategy not in self.STRATEGIES:
             raise ValueError(f"no such strategy: {strategy}")
         if strategy in ("merge", "delete_insert") and not keys:
             raise ValueError(f"{strategy} needs keys")
         if strategy == "insert_overwrite" and not partition:
             raise ValueError("insert_overwrite needs a partition column")
-        receipt = {"strategy": strategy, "rows_inserted": 0, "rows_updated": 0, "rows_deleted": 0}
-        written = df.count()
-        receipt["rows_written"] = written
+        began, new = time.monotonic(), not self.exists()
+        top = F.max(watermark).cast("string") if watermark else F.lit(None).cast("string")
+        old = None if new else self.read()
+        receipt = {"strategy": strategy, "mode": "batch", "rows_inserted": 0, "rows_updated": 0, "rows_deleted": 0, "schema_diff": [], "watermark_before": None}
+        if old is not None:
+            was, now = dict(old.dtypes), dict(df.dtypes)
+            receipt["schema_diff"] = [(c, "added" if c not in was else "removed" if c not in now else "type_changed") for c in sorted(was.keys() | now.keys()) if was.get(c) != now.get(c)]
+            receipt["watermark_before"] = old.agg(top).first()[0] if watermark in old.columns else None  # from the footers, where they have it
+            if add_columns:
+                old = old.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in old.columns))
         if partition:
-            if df.filter(F.col(partition).isNull()).limit(1).count():
-                raise ValueError("null partition value")
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(self.path)
-            return receipt | {"rows_inserted": written}
-        if not self.exists():
-            self.replace(latest_rows(df, keys, order) if strategy == "merge" else df)
-            written = self.read().count()
-            return receipt | {"rows_written": written, "rows_inserted": written}
-        old = self.read()
-        if add_columns:
-            old = old.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in old.columns))
-        if strategy == "append":
-            df.write.mode("append").parquet(self.path)
-            return receipt | {"rows_inserted": written}
-        before = old.count()
-        if strategy == "truncate_insert":
-            self.replace(truncate_insert(old, df) if set(old.columns) <= set(df.columns) else df)
-            return receipt | {"rows_inserted": written, "rows_deleted": before}
-        if strategy == "delete_insert":
-            deleted = before - old.join(df.select(*keys).distinct(), keys, "left_anti").count()
-            self.replace(delete_insert(old, df, keys))
-            return receipt | {"rows_inserted": written, "rows_deleted": deleted}
-        counts = merge_receipt(old, df, keys, order).first().asDict()
-        self.replace(merge(old, df, keys, order))
-        return receipt | {k: counts[k] for k in ("rows_inserted", "rows_updated", "rows_written")}
+            df = df.withColumn(partition, F.when(F.col(partition).isNull(), F.raise_error(F.lit("null partition value")).cast(df.schema[partition].dataType)).otherwise(F.col(partition)))
+        scan, done = Observation(), Observation()
+        df = df.observe(scan, F.count(F.lit(1)).alias("n"), top.alias("top")) if observed else df
+        count = lambda c: F.count_if(F.col("action_") == c).alias(c)
+        if strategy == "merge":
+            rows = latest_rows(df, keys, order).withColumn("action_", F.lit("inserted")) if new else merge(old, df, keys, order, True)
+        elif strategy == "delete_insert" and not new:
+            there = renamed(df.select(*keys).distinct()).withColumn("gone_", F.lit(True))
+            kept = old.join(there, reduce(and_, (F.col(k) == F.col(f"{k}_in_") for k in keys)), "left").select(*old.columns, F.when(F.col("gone_"), "deleted").otherwise("kept").alias("action_"))
+            rows = kept.unionByName(df.withColumn("action_", F.lit("inserted")))
+        else:
+            rows = df.withColumn("action_", F.lit("inserted"))
+            if strategy == "truncate_insert" and not new:
+                receipt["rows_deleted"] = old.count()  # from the footers
+                rows = rows.select(*(c for c in old.columns if c in df.columns), *(c for c in df.columns if c not in old.columns), "action_")
+        rows = rows.observe(done, *map(count, ("inserted", "updated", "deleted"))) if observed else rows
+        rows = rows.filter("action_ <> 'deleted'").drop("action_")
+        try:
+            if strategy == "insert_overwrite" and not new:
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(self.path)
+            elif strategy == "append" and not new:
+                writer = rows.write.mode("append")
+                (writer.partitionBy(partition) if partition else writer).parquet(self.path)
+            else:
+                self.replace(rows, partition)
+        except PySparkException as e:
+            if "null partition value" in str(e):
+                raise ValueError("null partition value") from e
+            raise
+        if not observed:
+            return None
+        seen, made = scan.get, done.get
+        receipt |= {f"rows_{k}": made[k] for k in ("inserted", "updated")}
+        receipt["rows_deleted"] = None if strategy == "insert_overwrite" and not new else receipt["rows_deleted"] + made["deleted"]
+        written = made["inserted"] + made["updated"]
+        return receipt | {"rows_scanned": seen["n"], "rows_written": written, "rows_filtered": seen["n"] - written, "watermark_after": seen["top"], "duration_s": time.monotonic() - began}

@@ -34,31 +34,38 @@ def gr_observed_edges(spark, sf_dir):
     return lineage.observed_edges(b, known).drop("resource_fingerprint")
 
 
-_EDGES = "SELECT DISTINCT o_orderkey % 97 AS src, o_custkey % 97 AS dst FROM orders WHERE o_orderkey % 97 < o_custkey % 97 AND o_orderkey % 5 = 0"
+# customer -> nation -> region, supplier -> nation, supplier -> part, customer -> order -> part, by whole keys
+_EDGES = """SELECT DISTINCT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+  UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem"""
 
 
 def _edges(spark, sf_dir, cyclic: bool = False) -> DataFrame:
-    o = Tables(spark, sf_dir).orders
-    e = o.filter("o_orderkey % 97 < o_custkey % 97 and o_orderkey % 5 = 0").select((F.col("o_orderkey") % 97).alias("src"), (F.col("o_custkey") % 97).alias("dst")).distinct()
-    back = o.filter("o_orderkey % 97 in (40, 60)").select((F.col("o_orderkey") % 97).alias("src"), F.lit(30).cast("long").alias("dst"))
-    return e.unionByName(back).distinct() if cyclic else e
+    """cyclic adds an edge back from each region to the suppliers of its nations."""
+    t = Tables(spark, sf_dir)
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    pairs = lambda d, a, b: d.select(name(*a).alias("src"), name(*b).alias("dst"))
+    out = pairs(t.customer, ("c", "c_custkey"), ("n", "c_nationkey")).unionByName(pairs(t.nation, ("n", "n_nationkey"), ("r", "n_regionkey"))).unionByName(pairs(t.supplier, ("s", "s_suppkey"), ("n", "s_nationkey")))
+    out = out.unionByName(pairs(t.lineitem, ("s", "l_suppkey"), ("p", "l_partkey"))).unionByName(pairs(t.orders, ("c", "o_custkey"), ("o", "o_orderkey"))).unionByName(pairs(t.lineitem, ("o", "l_orderkey"), ("p", "l_partkey")))
+    if cyclic:
+        out = out.unionByName(pairs(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")), ("r", "n_regionkey"), ("s", "s_suppkey")))
+    return out.distinct()
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT dst FROM e WHERE src = 3 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT node FROM r")
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT dst FROM e WHERE src = 'c7' UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT node FROM r")
 def gr_all_downstream(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return lineage.reachable(e, e.filter("src = 3").select(F.col("src").alias("node"))).select("node")
+    return lineage.reachable(e, e.filter("src = 'c7'").select(F.col("src").alias("node"))).select("node")
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT src FROM e WHERE dst = 90 UNION SELECT e.src FROM r JOIN e ON r.node = e.dst) SELECT node FROM r")
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT src FROM e WHERE dst = 'r1' UNION SELECT e.src FROM r JOIN e ON r.node = e.dst) SELECT node FROM r")
 def gr_all_upstream(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return lineage.reachable(e, e.filter("dst = 90").select(F.col("dst").alias("node")), True).select("node")
+    return lineage.reachable(e, e.filter("dst = 'r1'").select(F.col("dst").alias("node")), True).select("node")
 
 
-@query(f"WITH e AS ({_EDGES}) SELECT DISTINCT dst AS node FROM e WHERE src = 3")
+@query(f"WITH e AS ({_EDGES}) SELECT DISTINCT dst AS node FROM e WHERE src = 's3'")
 def gr_direct_downstream(spark, sf_dir):
-    return lineage.direct(_edges(spark, sf_dir), 3)
+    return lineage.direct(_edges(spark, sf_dir), "s3")
 
 
 @query(f"WITH RECURSIVE e AS ({_EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r(node, level) AS (SELECT node, 0 FROM n UNION SELECT e.dst, level + 1 FROM r JOIN e ON r.node = e.src) SELECT node, max(level)::INTEGER AS level FROM r GROUP BY node")
@@ -66,11 +73,11 @@ def gr_levels(spark, sf_dir):
     return lineage.levels(_edges(spark, sf_dir))
 
 
-_CYCLIC = f"(SELECT * FROM ({_EDGES}) UNION SELECT DISTINCT o_orderkey % 97, 30 FROM orders WHERE o_orderkey % 97 IN (40, 60))"
+# a supplier's nation leads to its region and from there back, so these three and all below them are in or behind a cycle
+_CYCLIC = f"(SELECT * FROM ({_EDGES}) UNION SELECT DISTINCT 'r' || n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 
 
-@query(f"""WITH RECURSIVE e AS {_CYCLIC}, c(a, node) AS (SELECT src, dst FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON c.node = e.src), k AS (SELECT a FROM c WHERE a = node)
-           SELECT a AS node FROM k UNION SELECT node FROM c WHERE a IN (SELECT a FROM k)""")
+@query(f"""WITH RECURSIVE e AS {_CYCLIC}, k(node) AS (SELECT 's' || s_suppkey FROM supplier UNION SELECT e.dst FROM k JOIN e ON k.node = e.src) SELECT node FROM k""")
 def gr_cycles(spark, sf_dir):
     return lineage.in_cycles(_edges(spark, sf_dir, True))
 
@@ -131,10 +138,10 @@ def gr_annotated_edges(spark, sf_dir):
     return lineage.annotated(derived, notes, known)
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), r(node, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON r.node = e.src WHERE depth < 3), f AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
-           SELECT src, dst, (depth + 1)::INTEGER AS depth, EXISTS (SELECT 1 FROM f JOIN e ON f.node = e.src WHERE f.depth = 3) AS truncated FROM f JOIN e ON f.node = e.src WHERE depth < 3""")
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r(node, depth) AS (SELECT 'c7', 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON r.node = e.src WHERE depth < 1), f AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+           SELECT src, dst, (depth + 1)::INTEGER AS depth, EXISTS (SELECT 1 FROM f JOIN e ON f.node = e.src WHERE f.depth = 1) AS truncated FROM f JOIN e ON f.node = e.src WHERE depth < 1""")
 def gr_column_trace(spark, sf_dir):
-    return lineage.trace(_edges(spark, sf_dir), "3", depth=3)
+    return lineage.trace(_edges(spark, sf_dir), "c7", depth=1)
 
 
 @query(f"""SELECT DISTINCT "column" FROM ({_COLS}) WHERE lower("column") LIKE '%c1%'""")
@@ -291,13 +298,47 @@ def gr_resolve_columns(spark, sf_dir):
     return lineage.resolve_columns(c, wanted)
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT dst FROM e WHERE src = 50 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT node, 'p' || node % 4 AS pipeline FROM r""")
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT dst FROM e WHERE src = 's5' UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT node, left(node, 1) AS pipeline FROM r""")
 def gr_column_impact(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    owner = e.select(F.col("dst").alias("node"), F.concat(F.lit("p"), (F.col("dst") % 4).cast("string")).alias("pipeline"))
-    return lineage.column_impact(e, "50", owner, depth=60)
+    owner = e.select(F.col("dst").alias("node"), F.substring("dst", 1, 1).alias("pipeline"))
+    return lineage.column_impact(e, "s5", owner, depth=60)
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT dst FROM e WHERE left(src, 1) = 's' UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT left(node, 1) AS pipeline, count(DISTINCT node) AS nodes FROM r GROUP BY 1""")
+def gr_pipeline_impact(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    owner = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().withColumn("pipeline", F.substring("node", 1, 1))
+    return lineage.pipeline_impact(e, owner, "s")
 
 
 @query(f"SELECT id, pipeline FROM ({_RUNS}) WHERE end_ms >= 700000")
 def gr_retained(spark, sf_dir):
     return lineage.retained(_runs(spark, sf_dir), "end_ms", 700_000).select("id", "pipeline")
+
+
+@query("SELECT c_custkey, c_mktsegment AS owner FROM customer WHERE c_mktsegment = 'BUILDING'")
+def ct_filter_by_owner(spark, sf_dir):
+    return resources.with_owner(Tables(spark, sf_dir).customer.select("c_custkey", F.col("c_mktsegment").alias("owner")), "BUILDING")
+
+
+@query("SELECT 'owner' AS kind, c_mktsegment AS name, count(*) AS resources FROM customer GROUP BY 2 UNION ALL SELECT DISTINCT 'tag', n_name, NULL::BIGINT FROM nation JOIN customer ON c_nationkey = n_nationkey")
+def ct_owners_and_tags(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    owners = resources.all_owners(t.customer.select(F.col("c_mktsegment").alias("owner"))).select(F.lit("owner").alias("kind"), F.col("owner").alias("name"), "resources")
+    tags = resources.all_tags(t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.array("n_name").alias("tags")))
+    return owners.unionByName(tags.select(F.lit("tag").alias("kind"), F.col("tag").alias("name"), F.lit(None).cast("long").alias("resources")))
+
+
+@query("""SELECT 'events' AS input, count(*) AS total_rows, 'struct<event_id:bigint,user_id:bigint>' AS schema, (SELECT list(row ORDER BY row) FROM (SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS row FROM events WHERE event_type = 'purchase' ORDER BY event_id LIMIT 5)) AS sample FROM events WHERE event_type = 'purchase'""")
+def rn_failure_report(spark, sf_dir):
+    failed = Tables(spark, sf_dir).events.filter("event_type = 'purchase'").select("event_id", "user_id")
+    return runs.failure_report({"events": failed}, 5, {"events": "event_id"})
+
+
+@query(f"""WITH e AS ({_EDGES}) SELECT dst AS node, src AS upstream FROM e WHERE left(dst, 1) <> 'r' UNION ALL SELECT 'r' || r_regionkey, 'new' FROM region""")
+def gr_replace_edges(spark, sf_dir):
+    """All edges into the regions are replaced at once."""
+    stored = _edges(spark, sf_dir).select(F.col("dst").alias("node"), F.col("src").alias("upstream"))
+    fresh = Tables(spark, sf_dir).region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit("new").alias("upstream"))
+    return lineage.replace_edges(stored, fresh)

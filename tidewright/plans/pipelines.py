@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -12,18 +13,22 @@ from ..operators import assertions as dq
 from ..operators import backfill, incremental, profile, snapshots, writes
 from ..operators.joins import band_join
 from ..operators.ranks import with_rank
+from ..operators.shared import checkpoint_folder
+from ..sources import files
 from .registry import Registry, Tables, money
 
 query = Registry()
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'low' WHEN c_acctbal < 5000 THEN 'mid' ELSE 'high' END AS tier, coalesce(nullif(c_nationkey, 3), -1) AS nation,
-                 (c_acctbal::INTEGER)::VARCHAR || '/' || lower(trim(c_mktsegment)) AS tag, upper(c_name) AS name, round(c_acctbal, 1) AS bal, abs(c_acctbal) AS size FROM customer WHERE abs(c_acctbal - floor(c_acctbal) - 0.5) > 0.001 AND abs(c_acctbal * 10 - floor(c_acctbal * 10) - 0.5) > 0.01""")
+                 round(c_acctbal::DECIMAL(12, 2))::INTEGER::VARCHAR || '/' || lower(trim(c_mktsegment)) AS tag, upper(c_name) AS name, round(c_acctbal::DECIMAL(12, 2), 1)::DOUBLE AS bal, abs(c_acctbal) AS size FROM customer""")
 def sc_case_cast_text(spark, sf_dir):
+    """Money is a decimal of two places before it is rounded, so ties (half away from zero) are exact."""
     b = F.col("c_acctbal")
-    c = Tables(spark, sf_dir).customer.filter((F.abs(b - F.floor(b) - 0.5) > 0.001) & (F.abs(b * 10 - F.floor(b * 10) - 0.5) > 0.01))
+    exact = b.cast("decimal(12,2)")
     tier = F.when(b < 0, "low").when(b < 5000, "mid").otherwise("high")
-    return c.select("c_custkey", tier.alias("tier"), F.coalesce(F.expr("nullif(c_nationkey, 3)"), F.lit(-1)).alias("nation"), F.concat(F.round(b).cast("int").cast("string"), F.lit("/"), F.lower(F.trim("c_mktsegment"))).alias("tag"), F.upper("c_name").alias("name"), F.round(b, 1).alias("bal"), F.abs(b).alias("size"))
+    tag = F.concat(F.round(exact).cast("int").cast("string"), F.lit("/"), F.lower(F.trim("c_mktsegment")))
+    return Tables(spark, sf_dir).customer.select("c_custkey", tier.alias("tier"), F.coalesce(F.expr("nullif(c_nationkey, 3)"), F.lit(-1)).alias("nation"), tag.alias("tag"), F.upper("c_name").alias("name"), F.round(exact, 1).cast("double").alias("bal"), F.abs(b).alias("size"))
 
 
 @query("SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS month, o_orderdate >= TIMESTAMP '1995-01-01' AS late, md5(concat_ws('|', o_orderkey, o_orderstatus)) AS digest, strlen(o_orderpriority)::INTEGER AS bytes FROM orders")
@@ -123,9 +128,9 @@ def dq_duplicate_groups(spark, sf_dir):
     return dq.violations(Tables(spark, sf_dir).orders, dq.unique("o_custkey"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT * FROM orders WHERE o_orderstatus NOT IN ('F', 'O') LIMIT 25)")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O') ORDER BY o_orderkey LIMIT 25")
 def dq_failing_sample(spark, sf_dir):
-    return dq.failing_sample(Tables(spark, sf_dir).orders, dq.accepted_values("o_orderstatus", ["F", "O"])).agg(F.count("*").alias("n"))
+    return dq.failing_sample(Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderstatus"), dq.accepted_values("o_orderstatus", ["F", "O"]), key="o_orderkey")
 
 
 def _target_source(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -215,9 +220,9 @@ _STAGE = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal +
 _ROWS = f"""WITH s AS ({_STAGE}), j AS (SELECT c.c_custkey AS k, s.c_custkey AS sk, c.c_name, c.c_acctbal AS old, s.c_name AS sname, s.c_acctbal AS new,
   CASE WHEN c.c_custkey IS NULL THEN 'new' WHEN s.c_custkey IS NULL THEN 'gone' WHEN c.c_acctbal IS DISTINCT FROM s.c_acctbal THEN 'changed' ELSE 'unchanged' END AS class
   FROM customer c FULL JOIN s ON c.c_custkey = s.c_custkey) """
-_AFTER = _ROWS + """, h AS (SELECT k AS c_custkey, c_name, old AS c_acctbal, md5('2024-01-01 00:00:00|' || k) AS scd_id, TIMESTAMP '2024-01-01' AS valid_from,
+_AFTER = _ROWS + """, h AS (SELECT k AS c_custkey, c_name, old AS c_acctbal, md5('2024-01-01 00:00:00.000000|' || strlen(k::VARCHAR) || ':' || k) AS scd_id, TIMESTAMP '2024-01-01' AS valid_from,
   CASE WHEN {closing} THEN TIMESTAMP '2024-02-01' END AS valid_to, NOT ({closing}) AS is_current FROM j WHERE class <> 'new' {dropped}
-  UNION ALL SELECT sk, sname, new, md5('2024-02-01 00:00:00|' || sk), TIMESTAMP '2024-02-01', NULL, true FROM j WHERE class IN ('new', 'changed')) """
+  UNION ALL SELECT sk, sname, new, md5('2024-02-01 00:00:00.000000|' || strlen(sk::VARCHAR) || ':' || sk), TIMESTAMP '2024-02-01', NULL, true FROM j WHERE class IN ('new', 'changed')) """
 
 
 @query(_ROWS + "SELECT class, count(*) AS n FROM j GROUP BY class")
@@ -266,7 +271,7 @@ def sn_roll_up(spark, sf_dir):
           SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS iteration, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN i ON o_orderdate >= s AND o_orderdate < e GROUP BY 1""")
 def bf_months_in_one_job(spark, sf_dir):
     months = backfill.range_iterations(spark, datetime(1995, 1, 15), datetime(1996, 3, 10), "month")
-    return backfill.assign(Tables(spark, sf_dir).orders, F.broadcast(months), "o_orderdate").groupBy("iteration").agg(F.count("*").alias("n"), money("o_totalprice").alias("total"))
+    return backfill.assign(Tables(spark, sf_dir).orders, months, "o_orderdate").groupBy("iteration").agg(F.count("*").alias("n"), money("o_totalprice").alias("total"))
 
 
 @query("SELECT DISTINCT o_orderpriority AS iteration FROM orders WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderkey <= 3)")
@@ -399,3 +404,132 @@ def bf_list_iterations(spark, sf_dir):
     todo = backfill.list_iterations(spark, ["F", "O", "X"])
     o = Tables(spark, sf_dir).orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
     return F.broadcast(todo).join(o, F.col("value") == F.col("o_orderstatus"), "left").select("value", "position", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _table(spark, name: str) -> writes.ParquetTable:
+    return writes.ParquetTable(spark, f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal >= 0")
+def snk_partition_append(spark, sf_dir):
+    """Two appends to a partitioned table; partitions that both have keep the rows of both."""
+    table, c = _table(spark, "append"), Tables(spark, sf_dir).customer
+    for some in (c.filter("c_acctbal < 0"), c.filter("c_acctbal >= 0")):
+        table.write(some.select("c_custkey", "c_nationkey"), "append", partition="c_nationkey")
+    return table.read()
+
+
+@query(f"WITH t AS ({_T}), s AS ({_S}) SELECT * FROM s UNION ALL SELECT * FROM t WHERE c_custkey NOT IN (SELECT c_custkey FROM s)")
+def snk_partition_merge(spark, sf_dir):
+    table = _table(spark, "merge")
+    for some, strategy in zip(_target_source(spark, sf_dir), ("append", "merge")):
+        table.write(some, strategy, ["c_custkey"], partition="c_nationkey")
+    return table.read()
+
+
+@query(f"""WITH t AS ({_T}), s AS ({_S}), c AS (SELECT t.c_custkey IS NULL AS ins, s.c_custkey IS NULL AS kept FROM t FULL JOIN s ON t.c_custkey = s.c_custkey)
+           SELECT 'merge' AS strategy, 'batch' AS mode, count(*) FILTER (NOT kept) AS rows_scanned, 0::BIGINT AS rows_filtered, count(*) FILTER (NOT kept) AS rows_written, count(*) FILTER (ins) AS rows_inserted, count(*) FILTER (NOT ins AND NOT kept) AS rows_updated, 0::BIGINT AS rows_deleted,
+                  (SELECT max(c_custkey)::VARCHAR FROM t) AS watermark_before, (SELECT max(c_custkey)::VARCHAR FROM s) AS watermark_after, 0::BIGINT AS schema_changes FROM c""")
+def rec_full_receipt(spark, sf_dir):
+    """The receipt of a merge, observed while it writes."""
+    t, s = _target_source(spark, sf_dir)
+    table = _table(spark, "receipt")
+    table.write(t, "append")
+    got = table.write(s, "merge", ["c_custkey"], watermark="c_custkey")
+    names = ("strategy", "mode", "rows_scanned", "rows_filtered", "rows_written", "rows_inserted", "rows_updated", "rows_deleted", "watermark_before", "watermark_after")
+    schema = "strategy string, mode string, rows_scanned long, rows_filtered long, rows_written long, rows_inserted long, rows_updated long, rows_deleted long, watermark_before string, watermark_after string, schema_changes long"
+    return spark.createDataFrame([(*(got[n] for n in names), len(got["schema_diff"]))], schema)
+
+
+@query("""SELECT name, change, CASE WHEN change = 'type_changed' THEN 'abort' WHEN change = 'added' THEN 'alter' ELSE 'proceed' END AS action FROM (VALUES ('c_acctbal', 'type_changed'), ('c_name', 'removed'), ('extra', 'added')) v(name, change) WHERE EXISTS (SELECT 1 FROM customer)""")
+def inc_drift_actions(spark, sf_dir):
+    return incremental.drift_actions(inc_schema_diff(spark, sf_dir), "append_new_columns").select("name", "change", "action")
+
+
+@query(_AFTER.replace("{closing}", "class = 'changed'").replace("{dropped}", "") + "SELECT DISTINCT c_custkey FROM h WHERE c_acctbal = (SELECT c_acctbal FROM customer WHERE c_custkey = 7)")
+def sn_ever_held(spark, sf_dir):
+    after = snapshots.apply_snapshot(*_history(spark, sf_dir), ["c_custkey"], SECOND)
+    value = Tables(spark, sf_dir).customer.filter("c_custkey = 7").first()["c_acctbal"]
+    return snapshots.ever_held(after, ["c_custkey"], "c_acctbal", value)
+
+
+@query(_ROWS + "SELECT class, coalesce(k, sk) AS c_custkey FROM j WHERE class <> 'unchanged' ORDER BY 2 LIMIT 50")
+def sn_diff_sample(spark, sf_dir):
+    return snapshots.diff_sample(snapshots.classify(*_history(spark, sf_dir), ["c_custkey"]), ["c_custkey"])
+
+
+@query(_AFTER.replace("{closing}", "class = 'changed'").replace("{dropped}", "") + "SELECT c_custkey, c_acctbal, is_current FROM h")
+def sn_rerun(spark, sf_dir):
+    """The same stage again changes nothing."""
+    h, stage = _history(spark, sf_dir)
+    once = snapshots.apply_snapshot(h, stage, ["c_custkey"], SECOND)
+    return snapshots.apply_snapshot(once, stage, ["c_custkey"], datetime(2024, 3, 1)).select("c_custkey", "c_acctbal", "is_current")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def sn_repeated_stage_keys(spark, sf_dir):
+    return writes.latest_rows(Tables(spark, sf_dir).orders.select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query("""WITH i AS (SELECT mark AS s, mark + INTERVAL 1 HOUR AS e FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-04 23:00:00', INTERVAL 1 HOUR)) AS mark))
+          SELECT 'hour' AS step, strftime(s, '%Y-%m-%d %H:%M:%S') AS iteration, count(*) AS n, min(epoch_us(ts) - epoch_us(s)) // 1000000 AS since FROM events JOIN i ON ts >= s AND ts < e GROUP BY 2
+          UNION ALL SELECT 'week', strftime(s, '%Y-%m-%d %H:%M:%S'), count(*), min(epoch_us(ts) - epoch_us(s)) // 1000000 FROM events JOIN (SELECT mark AS s, least(mark + INTERVAL 7 DAY, TIMESTAMP '2024-01-20') AS e FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-19', INTERVAL 7 DAY)) AS mark)) ON ts >= s AND ts < e GROUP BY 2""")
+def bf_steps_and_placeholders(spark, sf_dir):
+    """Iterations of an hour and of a week; `$iteration.start` stands for the start of a row's own."""
+    e, out = Tables(spark, sf_dir).events.select("ts"), []
+    for step, end in (("hour", datetime(2024, 1, 5)), ("week", datetime(2024, 1, 20))):
+        todo = backfill.range_iterations(spark, datetime(2024, 1, 3), end, step)
+        since = F.expr(backfill.placeholders("timestampdiff(MICROSECOND, $iteration.start, ts)", todo))
+        out.append(backfill.assign(e, todo, "ts").groupBy(F.lit(step).alias("step"), "iteration").agg(F.count("*").alias("n"), F.floor(F.min(since) / 1_000_000).alias("since")))
+    return out[0].unionByName(out[1])
+
+
+@query("""SELECT p_brand, n_name, count(*) AS n_lines, round(sum(l_extendedprice::DECIMAL(18,2)), 0)::DOUBLE AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+def flow_revenue_four_joins(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    lines = t.lineitem.select("l_partkey", "l_orderkey", "l_extendedprice").join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    revenue = F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), 0).cast("double")
+    return lines.groupBy("p_brand", "n_name").agg(F.count("*").alias("n_lines"), revenue.alias("revenue")).orderBy(F.desc("revenue"), "p_brand", "n_name")
+
+
+@query("""WITH e AS (SELECT n_nationkey, n_name, r_name, count(c_custkey) AS customers, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS balance FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
+          SELECT s_suppkey, n_name, r_name, customers, balance, s_acctbal * (1 + n_nationkey / 100.0::DOUBLE) AS local_balance FROM supplier LEFT JOIN e ON s_nationkey = n_nationkey""")
+def flow_country_enrichment(spark, sf_dir):
+    """Suppliers with figures of their nation, and their balance in its currency."""
+    t = Tables(spark, sf_dir)
+    e = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).join(t.customer, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    e = e.groupBy("n_nationkey", "n_name", "r_name").agg(F.count("c_custkey").alias("customers"), money("c_acctbal").alias("balance"))
+    local = F.col("s_acctbal") * (1 + F.col("n_nationkey") / F.lit(100.0))
+    return t.supplier.join(e, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name", "r_name", "customers", "balance", local.alias("local_balance"))
+
+
+@query("""SELECT event_id, 'u' || user_id AS country_name, event_type AS capital, user_id AS population, k AS area, user_id / k::DOUBLE AS density FROM (SELECT *, json_extract_string(props, '$.k')::INTEGER AS k FROM events) WHERE k <> 0""")
+def flow_parse_countries(spark, sf_dir):
+    """JSON objects with a nested name, a list and numbers as text; those without area go."""
+    e = Tables(spark, sf_dir).events
+    area = F.from_json("props", "k int")["k"]
+    body = F.to_json(F.struct(F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("common")).alias("name"), F.array("event_type").alias("capital"), F.col("user_id").cast("string").alias("population"), area.cast("string").alias("area")))
+    parsed = e.select("event_id", F.from_json(body, "name struct<common: string>, capital array<string>, population string, area string").alias("b"))
+    number = lambda c, kind: F.col(f"b.{c}").try_cast(kind)
+    out = parsed.select("event_id", F.col("b.name.common").alias("country_name"), F.try_element_at("b.capital", F.lit(1)).alias("capital"), number("population", "long").alias("population"), number("area", "int").alias("area"))
+    return out.filter("area <> 0").withColumn("density", F.col("population") / F.col("area").cast("double"))
+
+
+@query("SELECT 'a rule on no column' AS name, 'error' AS severity, false AS passed, 1::BIGINT AS violation_count FROM (SELECT 1 FROM orders LIMIT 1) UNION ALL SELECT 'expression_true(o_totalprice > 1000)', 'error', count(*) FILTER (o_totalprice <= 1000) = 0, count(*) FILTER (o_totalprice <= 1000) FROM orders")
+def dq_broken_rule(spark, sf_dir):
+    rules = [dq.sql_rule("a rule on no column", "SELECT no_such_column AS failing FROM {input}"), dq.expression_true("o_totalprice > 1000")]
+    return dq.run_suite(Tables(spark, sf_dir).orders, rules).drop("message")
+
+
+@query("SELECT 'ts' AS \"column\", 'other' AS kind, count(*) - count(ts) AS nulls FROM events")
+def pf_other_types(spark, sf_dir):
+    return profile.profile(Tables(spark, sf_dir).events.select("ts")).select("column", "kind", "nulls")
+
+
+@query("SELECT o_orderstatus, o_orderkey FROM orders")
+def snk_write_parquet(spark, sf_dir):
+    """Written with a layout by key and read back."""
+    at = f"{checkpoint_folder(spark)}/parquet-{uuid.uuid4().hex}"
+    files.write_parquet(Tables(spark, sf_dir).orders.select("o_orderstatus", "o_orderkey"), at, sort_by=["o_orderkey"])
+    return files.read_parquet(spark, at)

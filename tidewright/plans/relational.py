@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.joins import as_of_validity, band_join, collision_safe_join, null_safe_join
-from ..operators.ranks import rank_quintile
+from ..operators.ranks import percentiles, rank_quintile
 from ..operators.select import columns_matching, exclude
 from .registry import Registry, Tables, money
 
@@ -153,10 +153,10 @@ def jn_semi(spark, sf_dir):
     return t.customer.join(t.orders.filter("o_totalprice > 300000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def jn_anti(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.filter("o_totalprice > 300000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""SELECT r_name, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -225,8 +225,9 @@ def ag_first_last(spark, sf_dir):
 
 @query("""SELECT l_returnflag, median(l_extendedprice) AS med, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_disc(l_extendedprice, 0.9) AS d90 FROM lineitem GROUP BY l_returnflag""")
 def ag_percentiles(spark, sf_dir):
-    p = "l_extendedprice"
-    return Tables(spark, sf_dir).lineitem.groupBy("l_returnflag").agg(F.median(p).alias("med"), F.percentile(p, 0.9).alias("p90"), F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY {p})").alias("d90"))
+    """Exact, from range-partitioned ranks: no group is held in one buffer or task."""
+    exact = percentiles(Tables(spark, sf_dir).lineitem.select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice", {"med": 0.5, "p90": 0.9}, {"d90": 0.9})
+    return exact.select("l_returnflag", "med", "p90", "d90")
 
 
 @query("""SELECT l_returnflag, true AS distinct_close, true AS median_close FROM lineitem GROUP BY l_returnflag""")
@@ -384,11 +385,13 @@ def dl_qualify(spark, sf_dir):
     return Tables(spark, sf_dir).orders.withColumn("rn", rn).filter("rn <= 2").select("o_custkey", "o_orderkey")
 
 
-@query("""WITH RECURSIVE up(k, depth) AS (SELECT o_orderkey, 0 FROM orders UNION ALL SELECT k // 4, depth + 1 FROM up WHERE k >= 4 AND depth < 6)
-          SELECT k, depth, count(*) AS n FROM up GROUP BY k, depth HAVING depth >= 4""")
+@query("""WITH RECURSIVE up(k, depth) AS (SELECT o_orderkey, 0 FROM orders UNION ALL SELECT k // 4, depth + 1 FROM up WHERE k >= 4)
+          SELECT k, depth, count(*) AS n FROM up GROUP BY k, depth""")
 def dl_recursive_cte(spark, sf_dir):
-    return Tables(spark, sf_dir).sql("""WITH RECURSIVE up(k, depth) AS (SELECT o_orderkey, 0 FROM {orders} UNION ALL SELECT k div 4, depth + 1 FROM up WHERE k >= 4 AND depth < 6)
-        SELECT k, depth, count(*) AS n FROM up GROUP BY k, depth HAVING depth >= 4""")
+    """All ancestors of every order key; the engine's limits on recursion, in rounds and rows, are lifted."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return Tables(spark, sf_dir).sql("""WITH RECURSIVE up(k, depth) AS (SELECT o_orderkey, 0 FROM {orders} UNION ALL SELECT k div 4, depth + 1 FROM up WHERE k >= 4)
+        SELECT k, depth, count(*) AS n FROM up GROUP BY k, depth""")
 
 
 @query("""SELECT vec_id, len(embedding)::INTEGER AS n, len(list_filter(embedding, lambda x: x > 0))::INTEGER AS positive, list_max(list_transform(embedding, lambda x: abs(x))) AS largest FROM embeddings""")

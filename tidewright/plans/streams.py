@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import assertions as dq
+from ..operators.shared import checkpoint_folder
 from ..operators.writes import ParquetTable
 from ..sources import files
 from ..streaming import jobs
@@ -17,12 +18,7 @@ query = Registry()
 
 def _folder(spark) -> str:
     """A new folder in the place that all executors share."""
-    import tempfile
-
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf_dir):
@@ -55,8 +51,8 @@ def ss_deduplicated(spark, sf_dir):
     table = ParquetTable(spark, f"{at}/table")
     twice = _events(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     once = jobs.deduplicated(twice, "ts", "40 days", "event_id").select("event_id", "event_type")
-    jobs.run_available(once, f"{at}/log", lambda batch, _: batch.write.mode("append").parquet(table.path))
-    return table.read()
+    jobs.run_available(once, f"{at}/log", jobs.append_into(table))
+    return table.read().drop("batch_")
 
 
 @query("SELECT event_id, value FROM events WHERE value >= 50")
@@ -64,7 +60,7 @@ def ss_quarantine(spark, sf_dir):
     at = _folder(spark)
     results, bad = ParquetTable(spark, f"{at}/results"), ParquetTable(spark, f"{at}/bad")
     jobs.run_available(_events(spark, sf_dir).select("event_id", "value"), f"{at}/log", jobs.check_into([dq.expression_true("value < 50")], results, bad))
-    return bad.read()
+    return bad.read().drop("batch_")
 
 
 @query("SELECT user_id, max(ts) AS valid_from, true AS is_current FROM events GROUP BY user_id".replace("max(ts)", "(SELECT max(ts) FROM events)"))

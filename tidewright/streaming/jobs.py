@@ -45,7 +45,7 @@ def merge_into(table: ParquetTable, keys: list[str], order: str | None = None):
     """For run_available: merges a batch, so that a batch that comes again changes nothing."""
 
     def each(batch: DataFrame, _: int) -> None:
-        table.write(batch, "merge", keys, order)
+        table.write(batch, "merge", keys, order, observed=False)
 
     return each
 
@@ -63,15 +63,24 @@ def snapshot_into(table: ParquetTable, keys: list[str], updated_at: str):
     return each
 
 
+def append_into(table: ParquetTable):
+    """For run_available: adds a batch under its number, so that a batch that comes again replaces itself."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        table.write(batch.withColumn("batch_", F.lit(number)), "insert_overwrite", partition="batch_", observed=False)
+
+    return each
+
+
 def check_into(rules: list[Rule], results: ParquetTable, quarantine: ParquetTable):
-    """For run_available: notes each batch's suite and puts its bad rows aside."""
+    """For run_available: notes each batch's suite and puts its bad rows aside. A batch that comes again replaces what it left."""
 
     def each(batch: DataFrame, number: int) -> None:
-        run_suite(batch, rules).withColumn("batch", F.lit(number)).write.mode("append").parquet(results.path)
+        append_into(results)(run_suite(batch, rules), number)
         bad = F.lit(False)
         for r in rules:
             if r.bad is not None:
                 bad = bad | F.coalesce(r.bad, F.lit(False))
-        batch.filter(bad).write.mode("append").parquet(quarantine.path)
+        append_into(quarantine)(batch.filter(bad), number)
 
     return each
