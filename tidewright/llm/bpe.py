@@ -16,8 +16,8 @@ NONE = np.int64(1) << 62
 POS = 32
 #: Distinct words whose ids a worker keeps; beyond it the memory is emptied and filled anew.
 KEPT_WORDS = 600_000
-#: Leaves of all the trees that are worked on together.
-LEAVES = 1 << 20
+#: Leaves of all the trees that are worked on together; bytes from which a word's tree is worked on alone.
+LEAVES, ALONE = 1 << 20, 256
 # The published byte-level split pattern, white space as Unicode has it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -49,7 +49,9 @@ def load_merges(json_path: str) -> dict:
         strings[i] = bytes(back[c] for c in s)
     for s, i in added.items():
         strings[i] = s.encode()
-    return {"size": size, "keys": keys, "ranks": np.array([pairs[k][0] for k in keys.tolist()], np.int64), "made": np.array([pairs[k][1] for k in keys.tolist()], np.int64), "bytes": np.array([vocab[c] for c in symbols], np.int64), "strings": strings, "added": added}
+    made = {rank: symbol for rank, symbol in pairs.values()}
+    by_rank = [made.get(k, 0) for k in range(len(model["merges"]))]
+    return {"name": json_path, "size": size, "keys": keys, "ranks": np.array([pairs[k][0] for k in keys.tolist()], np.int64), "by_rank": by_rank, "bytes": np.array([vocab[c] for c in symbols], np.int64), "strings": strings, "added": added}
 
 
 def _leaf(t: dict, a: np.ndarray, b: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -115,15 +117,65 @@ def tree_merge(words: list[bytes], t: dict, by_rank: np.ndarray) -> list[bytes]:
     return [ids[many[k] : many[k + 1]] for k in range(m)]
 
 
+def long_merge(word: bytes, t: dict, pairs: dict[int, int]) -> bytes:
+    """Ids of one long word (32-bit little-endian), by the same segment tree as `tree_merge` in plain lists.
+
+    Whole-array steps don't pay for a single merge. A changed leaf is passed up only as far as a node's least leaf changes,
+    so most updates end after a few of the logarithmic number of steps.
+    """
+    n, size, by_rank = len(word), t["size"], t["by_rank"]
+    leaves = 1 << (n - 1).bit_length()
+    start = t["bytes"][np.frombuffer(word, np.uint8)]
+    levels = [np.full(leaves, NONE)]
+    levels[0][: n - 1] = _leaf(t, start[:-1], start[1:], np.arange(n - 1))
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1].reshape(-1, 2).min(1))
+    tree = [int(NONE), *np.concatenate(levels[::-1]).tolist()]
+    sym, nxt, prv = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    none, low = int(NONE), (1 << POS) - 1
+
+    def put(at: int, value: int) -> None:
+        at += leaves
+        tree[at] = value
+        while at > 1:
+            a, b = tree[at], tree[at ^ 1]
+            at >>= 1
+            a = a if a < b else b
+            if tree[at] == a:
+                return
+            tree[at] = a
+
+    def leaf(at: int, a: int, b: int) -> int:
+        rank = pairs.get(a * size + b)
+        return none if rank is None else rank << POS | at
+
+    while (root := tree[1]) < none:
+        at = root & low
+        gone = nxt[at]
+        after, before = nxt[gone], prv[at]
+        sym[at] = made = by_rank[root >> POS]
+        nxt[at], sym[gone] = after, -1
+        put(gone, none)
+        if after < n:
+            prv[after] = at
+            put(at, leaf(at, made, sym[after]))
+        else:
+            put(at, none)
+        if before >= 0:
+            put(before, leaf(before, sym[before], made))
+    return np.array([x for x in sym if x >= 0], "<u4").tobytes()
+
+
 def encode_words(words: list[str], t: dict) -> list[bytes]:
-    """Ids of each word; words of like length share a round of trees."""
+    """Ids of each word; words of like length share a round of trees, long ones have their own."""
     raw = [w.encode() for w in words]
     out = [t["bytes"][np.frombuffer(b, np.uint8)].astype("<u4").tobytes() if len(b) < 2 else b"" for b in raw]
-    by_rank = np.zeros(int(t["ranks"].max()) + 1, np.int64)
-    by_rank[t["ranks"]] = t["made"]
+    by_rank = np.array(t["by_rank"], np.int64)
     sizes: dict[int, list[int]] = {}
     for k, b in enumerate(raw):
-        if len(b) > 1:
+        if len(b) >= ALONE:
+            out[k] = long_merge(b, t, _ranks_of(t["name"], t))
+        elif len(b) > 1:
             sizes.setdefault(max(1, (len(b) - 1).bit_length()), []).append(k)
     for bits, which in sizes.items():
         step = max(1, LEAVES >> bits)
@@ -134,6 +186,17 @@ def encode_words(words: list[str], t: dict) -> list[bytes]:
     return out
 
 
+_known_ranks: dict[str, dict[int, int]] = {}
+
+
+def _ranks_of(name: str, t: dict) -> dict[int, int]:
+    """Pair to rank, made once in a worker for a merge table, and only where long words stand."""
+    if name not in _known_ranks:
+        _known_ranks.clear()
+        _known_ranks[name] = dict(zip(t["keys"].tolist(), t["ranks"].tolist()))
+    return _known_ranks[name]
+
+
 @cache
 def _words() -> dict[str, bytes]:
     return {}
