@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ GRAMS = LENGTH - GRAM + 1
 BLOCK, SORTED = 1 << 22, 1 << 20
 #: Distinct contexts of one anchor that fit into one sort; beyond it windows are counted by hash.
 CONTEXTS = SORTED // (LENGTH + GRAMS - 1)
+#: Parts over which the rows of a frequent anchor are spread.
+SALTS = 256
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -220,6 +222,20 @@ def counted_spans(contexts: DataFrame) -> DataFrame:
     return rows.join(twice, keys).select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end"))
 
 
+def salted(by: DataFrame, keys: list[str]) -> tuple[Column, DataFrame]:
+    """Spreads frequent keys of a table of counts (keys, n_) over SALTS parts: a column for the rows that are to meet it, and the table with salt_.
+
+    A key is frequent if it has a 1/SALTS of all rows, so there are SALTS such keys at most, which the column lists.
+    """
+    total = by.agg(F.sum("n_")).first()[0] or 0
+    often = [r["h"] for r in by.filter(F.col("n_") * SALTS > total).select(F.xxhash64(*keys).alias("h")).collect()]  # SALTS at most
+    if not often:
+        return F.lit(0), by.withColumn("salt_", F.lit(0))
+    frequent = F.xxhash64(*keys).isin(often)
+    salt = F.when(frequent, F.pmod(F.xxhash64("k1", "k2", "run"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    return salt, by.withColumn("salt_", F.explode(F.when(frequent, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Byte spans k1, k2, start, end that are covered by strings standing more than once; spans may overlap.
 
@@ -227,14 +243,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     each compared.
     """
     rows = anchored(docs)
-    by = rows.groupBy("anchor").agg(F.count("*").alias("n_"), F.min("context").alias("least"), F.max("context").alias("most")).filter("n_ > 1")
-    rows = cut(rows.join(by, "anchor").select("id", "k1", "k2", "anchor", "context", "run", (F.col("least") == F.col("most")).alias("one")))
+    by = cut(rows.groupBy("anchor").agg(F.count("*").alias("n_"), F.min("context").alias("least"), F.max("context").alias("most")).filter("n_ > 1"))
+    salt, by = salted(by, ["anchor"])
+    rows = cut(rows.withColumn("salt_", salt).join(by, ["anchor", "salt_"]).select("id", "k1", "k2", "anchor", "context", "run", (F.col("least") == F.col("most")).alias("one")))
     equal = rows.filter("one").select("k1", "k2", *_run())
     mixed = rows.filter("not one")
     contexts = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "run", "id")).alias("rep"))
     many = contexts.groupBy("anchor").agg(F.count("*").alias("k"))
     contexts = cut(contexts.join(many, "anchor").select("anchor", "context", "n", "k", "rep.*"))
-    again = mixed.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("k1", "k2", *_run())
+    salt, twice = salted(contexts.filter("n > 1").select("anchor", "context", F.col("n").alias("n_")), ["anchor", "context"])
+    again = mixed.withColumn("salt_", salt).join(twice, ["anchor", "context", "salt_"], "left_semi").select("k1", "k2", *_run())
     some = cut(fetched(docs, contexts))
     few = sorted_spans(some.filter(F.col("k") <= CONTEXTS))
     lots = counted_spans(some.filter(F.col("k") > CONTEXTS))
