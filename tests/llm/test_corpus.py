@@ -57,7 +57,7 @@ def test_bpe_round_trip(spark):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    all_ = ODD + fuzz() + ["".join(random.Random(2).choice("etaoin") for _ in range(3000))]
+    all_ = ODD + fuzz() + ["".join(random.Random(2).choice("etaoin") for _ in range(n)) for n in (255, 256, 257, 3000, 60_000)] + ["a" * 1025, "ab" * 700]
     got = {r["doc_id"]: r for r in bpe.encode_decode(frame(spark, [(t, None) for t in all_]), path("byte_bpe_50k.json")).collect()}
     for k, t in enumerate(all_):
         ids = lib.encode(t or "", add_special_tokens=False).ids
@@ -83,6 +83,38 @@ def test_media_round_trip(spark):
     assert (digest["payload_sha256"], digest["tail_crc32"]) == (hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
 
 
+def test_media_features_match_brute_force():
+    x = np.random.default_rng(3).normal(size=2400).astype(np.float32)
+    branches, window, filters = media._design()
+    padded = np.concatenate([np.zeros(media.TAPS - 1), x.astype(np.float64), np.zeros(2 * media.TAPS)])
+    y = np.array([sum(padded[k * media.DOWN // media.UP + j] * float(branches[k * media.DOWN % media.UP][j]) for j in range(media.TAPS)) for k in range(len(x) * media.UP // media.DOWN)])
+    assert np.allclose(media.resample(x), y, atol=1e-4)
+    want = []
+    for a in range(0, len(y) - media.WINDOW + media.HOP, media.HOP):
+        f = np.zeros(media.FFT)
+        part = y[a : a + media.WINDOW]
+        f[: len(part)] = part * window[: len(part)]
+        power = [abs(sum(f[n] * np.exp(-2j * np.pi * k * n / media.FFT) for n in range(media.FFT))) ** 2 for k in range(media.FFT // 2 + 1)]
+        want.append(np.log(np.array(power) @ filters + media.FLOOR))
+    got = media.log_mel(y.astype(np.float32))
+    assert got.shape == (len(want), media.MELS) and np.allclose(got, want, atol=0.02)
+    energy, on, runs_ = got.mean(1), False, []
+    for k, e in enumerate(energy):  # on from mean + half a deviation, off below the mean
+        was, on = on, True if e >= energy.mean() + energy.std() / 2 else False if e < energy.mean() else on
+        if on and not was:
+            runs_.append([k, k])
+        if on:
+            runs_[-1][1] = k + 1
+    assert media.segments(energy).tolist() == runs_
+
+
+def test_media_edges(spark):
+    df = spark.createDataFrame([(1, "b" * 30_000, "m", "f"), (1, "b" * 30_000, "m", "f"), (None, None, "m", "f")], "doc_id long, text string, media string, features string")
+    rows = [tuple(r) for r in media.digests(media.media_columns(df)).collect()]
+    assert len(rows) == 3 and len(set(rows)) == 2
+    assert media.digests(media.media_columns(df.limit(0))).count() == 0
+
+
 def test_resampler_keeps_a_tone():
     x = np.sin(2 * np.pi * 500 * np.arange(12000) / media.STORED_HZ).astype(np.float32)
     y = media.resample(x)
@@ -105,6 +137,21 @@ def test_mix_matches_sql(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_mix_comes_near_its_targets(spark):
+    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("n")).collect()
+    off = sorted(abs(r["n"] - r["t"]) / r["t"] for r in rows)  # fifty documents a source, of 1 to 20,000 words
+    assert len(off) > 3 and off[len(off) // 2] <= 0.01 and off[-1] <= 0.12
+
+
+def test_mix_edges(spark):
+    df = spark.createDataFrame([(None, "a b", None, 1, 1), (None, "a b", None, 1, 1), (3, None, "s", 1, 1), (4, "x " * 5000, "s", 1, 1)], "doc_id long, text string, source string, copies int, row int")
+    got = mixing.mix(df).collect()
+    assert sorted(r["size"] for r in got) == [0, 2, 2, 5000] and max(r["copies"] for r in got) <= 3
+    assert set(mixing.mixed_documents(df).columns) == set(df.columns)
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 130)] + [(None, 1), (5, 5)]
@@ -212,6 +259,32 @@ def test_near_lines_go(spark):
     assert gone <= must and len(gone) >= 0.95 * len(must)
 
 
+def test_links_past_large_roots(spark, monkeypatch):
+    """Pairs that all share half of their text with very many others, so most roots branch."""
+    monkeypatch.setattr(nearjoin, "LARGE", 40)
+    monkeypatch.setattr(nearjoin, "LEAF", 16)
+    common, rows = texts(1, 120, 31)[0], []
+    for k, own in enumerate(texts(120, 120, 32)):
+        w = own.split()
+        w[60] = "changed"
+        w[90] = "changed"
+        rows += [common + " " + own, common + " " + " ".join(w)]
+    got = {r["doc_id"]: r["component_id"] for r in nearjoin.near_groups(frame(spark, [(t, None) for t in rows])).collect()}
+    want = {r[0]: r[2] for r in near_brute_pairs(rows)}
+    assert sum(got[k] == want[k] for k in got) >= 0.99 * len(got)
+
+
+def near_brute_pairs(rows):
+    return [(k, 0, k - k % 2) for k in range(len(rows))]
+
+
+def test_near_edges(spark):
+    df = spark.createDataFrame([(None, "a b c d e f", "k", 1), (None, "a b c d e f", "k", 1), (2, "a b c d e f", "k", 1), (3, "x " * 50_000, "k", 1), (3, None, "k", 1)], "doc_id long, text string, key string, n int")
+    got = nearjoin.near_groups(df).collect()
+    assert len(got) == 5 and {r["component_id"] for r in got if r["n_shingles"] == 2} == {2}
+    assert sorted(r["n_shingles"] for r in got) == [0, 1, 2, 2, 2]
+
+
 def test_pairs_meet_past_a_branched_root(spark, monkeypatch):
     monkeypatch.setattr(nearjoin, "LARGE", 6)
     monkeypatch.setattr(nearjoin, "LEVELS", 3)
@@ -285,6 +358,47 @@ def test_search_recall_and_odd_vectors(spark):
     assert ann.search(few.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_search_ties_copies_and_lone_queries(spark):
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=16).astype(np.float32)
+    near = one + 1e-3 * rng.normal(size=(400, 16)).astype(np.float32)
+    far = rng.normal(size=(300, 16)).astype(np.float32)
+    rows = [(k, one.tolist()) for k in range(3000)] + [(3000 + k, v.tolist()) for k, v in enumerate(near)] + [(3400 + k, v.tolist()) for k, v in enumerate(far)] + [(9000, [1.0] * 7), (9050, [1.0] * 7), (None, one.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("key", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == set(range(0, 3700, 50)) and all(len(v) == 5 for v in got.values())
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == [0, 1, 2, 3, 4]
+    x = np.array([v for _, v in rows[:3700]], np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = lambda q: [k for k in np.lexsort((np.arange(3700), -np.round(u @ u[q], 12))).tolist() if k != q][:5]
+    assert sum(len(set(got[q]) & set(true(q))) for q in got) >= 0.95 * 5 * len(got)
+
+
+def test_compiled_rules_match_holds(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, len(quality.STATISTICS)))
+    y = ((x[:, 0] > 0) & (x[:, 1] < 0.5)).astype(float)
+    model = quality.fit(x, y)
+    assert len(model["rules"]) > 3
+    want = 1 / (1 + np.exp(-(model["bias"] + sum(w * quality.holds(x, r) for r, w in model["rules"]))))
+    stats = F.struct(*(F.col("v")[k].alias(n) for k, n in enumerate(quality.STATISTICS))).alias("stats")
+    got = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k int, v array<double>").select("k", stats).select("k", quality.compiled(model).alias("p")).orderBy("k").collect()
+    assert np.allclose([r["p"] for r in got], want, atol=1e-12)
+    assert ((want >= 0.5) == y).mean() > 0.95
+
+
+def test_model_edges(spark):
+    df = spark.createDataFrame([(None, "the house and the garden " * 4000, "en", 1), (2, "the house", "en", 1), (2, "the house", "en", 1), (3, "", "en", 1), (4, None, None, 1)], "doc_id long, text string, lang string, stats int")
+    labels = spark.createDataFrame([(2, 1), (None, 1)], "doc_id long, quality int")
+    scored = quality.score(df, quality.train(df, labels)).collect()
+    assert len(scored) == 5 and all(0 <= r["score"] <= 1 for r in scored)
+    found = langid.predict(df, langid.train(df)).collect()
+    assert len(found) == 5 and {r["lang_pred"] for r in found} == {"en", "und"}
+    assert quality.score(df.limit(0), {"bias": 0.0, "rules": []}).count() == langid.predict(df.limit(0), langid.train(df)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_models_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
@@ -349,6 +463,28 @@ def test_suffix_order():
     assert got == sorted(raw[i : i + 200] for i in range(len(raw)))
 
 
+def test_substring_edges(spark):
+    a = texts(1, 80, 41)[0]
+    df = spark.createDataFrame([(None, a, 1, "r"), (None, a, 1, "r"), (3, "lead " + a, 1, "r"), (4, ("ab" * 5000), 1, "r"), (5, None, 1, "r")], "id long, text string, n int, run string")
+    got = sorted(tuple(r)[1:] for r in substrings.remove_repeats(df, id_col="id").collect())
+    assert [(*r[:3], bytes(r[3])) for r in got] == sorted(r[1:] for r in removed_brute([a, a, "lead " + a, "ab" * 5000, None]))
+
+
+def test_stage_edges(spark):
+    import corpus_pipeline as p
+
+    a, b = texts(2, 30, 51)
+    rows = [(1, a, "en", "s", 9, "x", "x"), (1, a, "en", "s", 9, "x", "x"), (1, a + " more", "en", "s", 9, "x", "x"), (2, b, "en", None, 9, "x", "x"), (3, None, None, "s", 0, "x", "x"), (4, "", "en", "s", 0, "x", "x"), (None, b + " and so", "en", "t", 9, "x", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, language_ string, removed_ string")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        assert out.collect() is not None
+        assert stage(spark, docs.limit(0), "").count() == 0
+    near = p.dedup_near(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0) for r in near) == [0, 1, 3, 4]  # a null id is the least
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_pipeline(spark):
     import corpus_pipeline

@@ -138,8 +138,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, seed: int = 7) -> d
     return {"labels": labels, "weights": weights, "move": move, "lexicon": lexicon}
 
 
-def label_texts(texts: list[str], model: dict, known: dict) -> tuple[list[str], list[float], list[np.ndarray]]:
-    """Language of each text, its score, and the mean marginal of each label over the words."""
+def label_texts(texts: list[str], model: dict, known: dict) -> tuple[list[str], list[float], list[float]]:
+    """Language of each text, its score (the mean marginal of that label over the words), and how sure the words are (the mean of each one's largest marginal)."""
     rows = [find_words(x.lower()) for x in texts]
     index, table_ = known.setdefault("index", {}), known.get("table")
     new = list(set().union(*rows) - index.keys())
@@ -155,16 +155,18 @@ def label_texts(texts: list[str], model: dict, known: dict) -> tuple[list[str],
     ids = [np.fromiter(map(index.__getitem__, r), np.int64, len(r)) for r in rows]
     ids = [x[~np.isnan(table_[x, 0])] for x in ids]
     chain, mask, who = lay_out(ids, CHAIN)
-    total = np.zeros((len(texts), len(model["labels"])))
+    total, sure = np.zeros((len(texts), len(model["labels"]))), np.zeros(len(texts))
     for a in range(0, len(chain), 4096):
         m = mask[a : a + 4096]
         given = forward_backward(table_[chain[a : a + 4096]], m, model["move"])
         np.add.at(total, who[a : a + 4096], (given * m[:, :, None]).sum(1))
+        np.add.at(sure, who[a : a + 4096], (given.max(2) * m).sum(1))
     n = total.sum(1)
     share = total / np.maximum(n, 1e-9)[:, None]
     best = share.argmax(1)
     lang = [model["labels"][k] if c > 0 else UNKNOWN for k, c in zip(best.tolist(), n.tolist())]
-    return lang, [min(1.0, round(float(s[k]), 6)) if c > 0 else 0.0 for s, k, c in zip(share, best, n.tolist())], list(share)
+    score = [min(1.0, round(float(s[k]), 6)) if c > 0 else 0.0 for s, k, c in zip(share, best, n.tolist())]
+    return lang, score, np.minimum(1.0, np.round(sure / np.maximum(n, 1e-9), 6)).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -172,12 +174,16 @@ def _known(key: str) -> dict:
     return {}
 
 
+def held_out(id_col: str) -> Column:
+    """Whether crc32 of the id as text, mod 5, is 0; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
     """At most TRAIN_DOCS labelled rows of at most TRAIN_CHARS characters, those of the lowest hash of the id among all but each fifth."""
-    part = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    rows = df.filter((part % 5 != 0) & F.col(lang_col).isNotNull() & F.length(text_col).between(1, TRAIN_CHARS)).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    rows = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.length(text_col).between(1, TRAIN_CHARS)).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     last = rows.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    return [] if last is None else rows.filter(F.col("h") <= last).limit(2 * TRAIN_DOCS).collect()
+    return [] if last is None else rows.filter(F.col("h") <= last).orderBy("h", "t", "l").limit(2 * TRAIN_DOCS).collect()
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
@@ -187,7 +193,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def language(df: DataFrame, model: dict | None, text_col: str = "text") -> Column:
-    """A column of lang_pred and score (mean marginal of that language over the words) for every text of `df`.
+    """A column of lang_pred, score (mean marginal of that language over the words) and sure (mean of each word's largest marginal) for every text of `df`.
 
     Texts without a letter, null and empty ones get `und` with score 0, as all do without a model. Words are all letter
     runs of the whole text, in chains of CHAIN words. No shuffle; the model (bounded by its parameters) is broadcast.
@@ -197,23 +203,23 @@ def language(df: DataFrame, model: dict | None, text_col: str = "text") -> Colum
 
     def run(column: pa.Array) -> pa.Array:
         texts = [x or "" for x in column.to_pylist()]
-        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        lang, score, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if shared.value is not None:
             for a, b in groups(texts):
-                lang[a:b], score[a:b], _ = label_texts(texts[a:b], shared.value, _known(key))
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+                lang[a:b], score[a:b], sure[a:b] = label_texts(texts[a:b], shared.value, _known(key))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], ["lang_pred", "score", "sure"])
 
-    return F.arrow_udf(run, "lang_pred string, score double")(F.col(text_col))
+    return F.arrow_udf(run, "lang_pred string, score double, sure double")(F.col(text_col))
 
 
 def predict(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Language of every text: the id, lang_pred, score; one row per row of `df`."""
+    """Language of every text: the id, lang_pred, score; one row per row of `df`. Repeated rows give repeated results, an empty table none."""
     return df.select(F.col(id_col), language(df, model, text_col).alias("language_")).select(id_col, "language_.lang_pred", "language_.score")
 
 
 def _op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    held = held_out("doc_id").alias("held_out")
     return predict(docs, train(docs)).select("doc_id", held, "lang_pred", "score")
 
 

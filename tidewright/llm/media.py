@@ -142,7 +142,8 @@ def audio_features(media: Column) -> Column:
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text as audio and computes features from the stored bytes.
 
-    Columns: the id, n_bytes, media (WAV), features. A null or empty text is one unit of spaces. No shuffle.
+    Columns: the id, n_bytes, media (WAV), features. A null or empty text is one unit of spaces; whole texts of any length
+    are stored; repeated rows give repeated results, an empty table none. No shuffle.
     """
     stored = df.select(F.col(id_col), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), wav(payload(F.col(text_col))).alias("media"))
     return stored.withColumn("features", audio_features(F.col("media")))

@@ -121,12 +121,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = labels.filter((F.crc32(text_id.cast("binary")) % 3 != 1) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(label_col).alias("label_"))
     some = some.orderBy(F.xxhash64("id_"), "id_").limit(TRAIN_ROWS)
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(some), "id_")
-    rows = with_statistics(rows, "text_").select("id_", "label_", "stats.*").limit(2 * TRAIN_ROWS).toPandas().sort_values(["id_", "label_", *STATISTICS])
+    rows = with_statistics(rows, "text_").select("id_", "label_", "stats.*").orderBy("id_", "label_", *STATISTICS).limit(2 * TRAIN_ROWS).toPandas()
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["label_"].to_numpy(float))
 
 
 def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Quality of every text: the id, score (0 to 1) and predicted (1 from 0.5). Null counts as empty, which has a score too. No shuffle."""
+    """Quality of every text: the id, score (0 to 1) and predicted (1 from 0.5). Null counts as empty, which has a score too. No shuffle.
+
+    Whole texts of any length count; repeated rows give repeated results, an empty table none.
+    """
     stats = with_statistics(df.select(F.col(id_col), F.col(text_col).alias("text_")), "text_")
     # the barrier keeps the statistics from being written out anew in each rule
     return stats.select(id_col, "stats").filter(F.col("stats").isNotNull()).withColumn("score", compiled(model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("stats")
@@ -134,7 +137,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
 def _op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out")
+    held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1).alias("held_out")
     return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", held, "score", "predicted")
 
 
