@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 from tidewright.llm import bpe, langid, lines, mixing, nearjoin
 from tidewright.llm.common import cut, table
 
-#: Least mean marginal of a document's language. Below it no language holds half of the words' weight.
+#: Least mean of the words' largest marginals. It asks whether each word has a sure language, not whether all have the same, so code-switched documents stay.
 CERTAIN = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is certain; those without letters go."""
-    found = docs.withColumn("language_", langid.language(docs, langid.train(docs)))
-    return found.filter((F.col("language_.lang_pred") != langid.UNKNOWN) & (F.col("language_.score") >= CERTAIN)).select(*docs.columns)
+    """Keeps the documents whose words have a sure language; those without letters, null and empty texts included, go.
+
+    Repeated rows have one fate; without a document to learn from none is kept.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    found = rows.withColumn("found", langid.language(rows, langid.train(docs)))
+    return found.filter((F.col("found.lang_pred") != langid.UNKNOWN) & (F.col("found.sure") >= CERTAIN)).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +47,12 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that the sources come near their weights."""
+    """Repeats or drops documents so that the sources come near their weights. Null and empty texts have size 0 and are taken like others; rows that share an id share the number of copies."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the text that they decode to, as digests."""
+    """Token ids of each document, and the text that they decode to, as digests; a null text counts as empty."""
     return bpe.digests(bpe.encode_decode(docs, path("byte_bpe_50k.json")))
 
 
