@@ -1,7 +1,9 @@
 """Rules that the queries don't show: errors, nulls, repeats, idempotence."""
 
 import json
+import threading
 from datetime import datetime, timedelta
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -215,3 +217,26 @@ def test_drift_and_placeholder_errors(spark):
         backfill.placeholders("a > $iteration.none", e)
     assert backfill.placeholders("b > $iteration.a", e) == "b > `a`"
     assert incremental.drift_action(incremental.schema_diff(e, e.withColumn("b", F.lit(1))), "sync_all_columns") == "alter"
+
+
+def test_rest_link_header_and_bodies(spark):
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            page = int(self.path[-1])
+            self.send_response(200)
+            if page < 2:
+                self.send_header("Link", f'</x{page}>; rel="prev", </rows{page + 1}>; rel="next"')
+            self.end_headers()
+            self.wfile.write((f'{{"k": {page}}}\n{{"k": {page + 10}}}\n' if self.path.startswith("/rows") else "k,v\n1,\n2,b\n").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(rest.RestSource)
+    at = f"http://127.0.0.1:{server.server_port}"
+    read = lambda **o: sorted(r["row"] for r in spark.read.format("rest_pages").options(**o).load().collect())
+    assert read(url=f"{at}/rows0", body="ndjson", next_path="link") == sorted(json.dumps({"k": k}) for k in (0, 1, 2, 10, 11, 12))
+    assert read(url=f"{at}/csv0", body="csv") == ['{"k": "1", "v": null}', '{"k": "2", "v": "b"}']
+    server.shutdown()

@@ -533,3 +533,12 @@ def snk_write_parquet(spark, sf_dir):
     at = f"{checkpoint_folder(spark)}/parquet-{uuid.uuid4().hex}"
     files.write_parquet(Tables(spark, sf_dir).orders.select("o_orderstatus", "o_orderkey"), at, sort_by=["o_orderkey"])
     return files.read_parquet(spark, at)
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, '{"t":"' || event_type || '"}' AS nested, NULL::VARCHAR AS never, user_id::VARCHAR AS u FROM events""")
+def src_inferred_rows(spark, sf_dir):
+    """Types found over all rows; one is set by hand."""
+    e = Tables(spark, sf_dir).events
+    k = F.from_json("props", "k long")["k"]
+    body = F.to_json(F.struct("event_id", k.alias("k"), F.struct(F.col("event_type").alias("t")).alias("nested"), F.lit(None).cast("string").alias("never"), F.col("user_id").alias("u")), {"ignoreNullFields": "false"})
+    return files.inferred_rows(e.select(body.alias("body")), "body", {"u": "string"}).select("event_id", "k", "nested", "never", "u")

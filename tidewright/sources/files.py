@@ -70,3 +70,16 @@ def arrivals(spark: SparkSession, path: str, seen: DataFrame | None = None) -> D
 def arrival_summary(files: DataFrame) -> DataFrame:
     """One row: file_count, and the sorted file_paths."""
     return files.agg(F.count("*").alias("file_count"), F.array_sort(F.collect_list("file_path")).alias("file_paths"))
+
+
+def inferred_rows(rows: DataFrame, column: str, types: dict[str, str] | None = None) -> DataFrame:
+    """The objects in a column of JSON text as columns. Types are found over all rows; `types` (column to type) goes before.
+
+    A column that is null everywhere is text; nested objects and arrays stay JSON text; a value that doesn't fit its type is null.
+    """
+    found = rows.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column)))).first()[0]
+    fields = T.StructType.fromDDL(f"r {found.replace('OBJECT<', 'STRUCT<')}")["r"].dataType if found and found.startswith("OBJECT<") else T.StructType()
+    text = (T.StructType, T.ArrayType, T.NullType, T.VariantType)
+    kinds = {f.name: "string" if isinstance(f.dataType, text) else f.dataType.simpleString() for f in fields} | (types or {})
+    schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
+    return rows.select(F.from_json(column, schema).alias("r")).select("r.*") if kinds else rows.select()

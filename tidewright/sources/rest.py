@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -14,11 +17,25 @@ class Pages(InputPartition):
         self.url, self.first, self.last = url, first, last
 
 
-def fetch(url: str) -> str:
+def fetch(url: str) -> tuple[str, str | None]:
+    """A body, and the next address that its Link header names."""
+    from urllib.parse import urljoin
     from urllib.request import urlopen
 
     with urlopen(url) as r:
-        return r.read().decode()
+        named = re.search(r'<([^>]*)>[^,]*;\s*rel="?next\b', r.headers.get("Link") or "")
+        return r.read().decode(), urljoin(url, named[1]) if named else None
+
+
+def rows_of(body: str, kind: str, path: str | None) -> list:
+    """The rows of a body: json (at a path), ndjson (an object a line) or csv (objects by the names in the first line; empty fields are null)."""
+    if kind == "json":
+        return rows_at(body, path)
+    if kind == "ndjson":
+        return [json.loads(x) for x in body.splitlines() if x.strip()]
+    if kind == "csv":
+        return [{k: v or None for k, v in row.items()} for row in csv.DictReader(io.StringIO(body))]
+    raise ValueError(f"no such body format: {kind}")
 
 
 def rows_at(body: str, path: str | None) -> list:
@@ -31,7 +48,8 @@ def rows_at(body: str, path: str | None) -> list:
 
 class RestSource(DataSource):
     """Rows of JSON pages as text. Options: url (with {offset} and {limit}, or several separated by blanks), limit,
-    max_pages (none: all pages), pages_per_task, data_path, next_path (cursor pagination: the next address stands there).
+    max_pages (none: all pages), pages_per_task, body (json, ndjson or csv), data_path, next_path (cursor pagination: the next
+    address stands there; `link`: in the Link header).
 
     Without max_pages each address is one task, which reads on until a page is shorter than the limit or there is no next
     address. With it, offset pages are read in parallel, a range of pages a task; a page shorter than the limit ends its
@@ -59,23 +77,27 @@ class RestReader(DataSourceReader):
             return [Pages(u, 0, sys.maxsize if pages is None else int(pages)) for u in self.options["url"].split()]
         return [Pages(u, a, min(int(pages), a + step)) for u in self.options["url"].split() for a in range(0, int(pages), step)]
 
-    def page(self, url: str, page: int, limit: int) -> tuple[str, list]:
-        body = fetch(url.replace("{offset}", str(page * limit)).replace("{limit}", str(limit)))
-        return body, rows_at(body, self.options.get("data_path"))
+    def page(self, url: str, page: int, limit: int) -> tuple[str | None, list]:
+        """The next address, if pages name it, and the rows of a page."""
+        body, link = fetch(url.replace("{offset}", str(page * limit)).replace("{limit}", str(limit)))
+        rows, at = rows_of(body, self.options.get("body", "json"), self.options.get("data_path")), self.options.get("next_path")
+        if at is None or at == "link":
+            return link if at else None, rows
+        try:
+            return rows_at(body, at)[0], rows
+        except (KeyError, IndexError):
+            return None, rows
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         limit, url = int(self.options.get("limit", 100)), partition.url
         for page in range(partition.first, partition.last):
-            body, rows = self.page(url, page, limit)
+            after, rows = self.page(url, page, limit)
             for r in rows:
                 yield page, json.dumps(r)
             if self.options.get("next_path"):
-                try:
-                    url = rows_at(body, self.options["next_path"])[0]
-                except (KeyError, IndexError):
-                    return
-                if not url:
+                if not after:
                     return
+                url = after
             elif len(rows) < limit or "{offset}" not in url:
                 return
         if partition.last == int(self.options["max_pages"]) and (self.options.get("next_path") or self.more(url, partition.last, limit)):
