@@ -259,6 +259,19 @@ def test_near_lines_go(spark):
     assert gone <= must and len(gone) >= 0.95 * len(must)
 
 
+def test_crowded_line_keys(spark, monkeypatch):
+    """Lines of one template, half of whose words are common, in small groups of like lines."""
+    monkeypatch.setattr(lines, "CROWD", 3)
+    common, rows = " ".join(texts(1, 14, 61)), []
+    for x in texts(14, 14, 62):
+        for k in range(3):
+            w = x.split()
+            w[k * 4] += "s"
+            rows.append(common + " " + " ".join(w))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, [(x, None) for x in rows])).collect()}
+    assert sum(bool(x) for x in got.values()) <= 16 and all(any(got[k + j] for j in range(3)) for k in range(0, len(rows), 3))
+
+
 def test_links_past_large_roots(spark, monkeypatch):
     """Pairs that all share half of their text with very many others, so most roots branch."""
     monkeypatch.setattr(nearjoin, "LARGE", 40)
