@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, lines, media, mixing, nearjoin, quality, substrings, tokens
+from . import ann, bpe, langid, lines, media, merkle, mixing, nearjoin, quality, substrings, tokens
 
-MODULES = (tokens, media, mixing, nearjoin, lines, bpe, quality, ann, langid, substrings)
+MODULES = (tokens, media, mixing, nearjoin, lines, bpe, quality, ann, langid, substrings, merkle)
 
 
 def queries() -> dict:
