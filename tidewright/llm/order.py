@@ -19,11 +19,11 @@ def placed(df: DataFrame, group: str, *order: Column) -> DataFrame:
     no ties but between equal rows.
     """
     keys = [F.col(group).asc(), *order]
-    id_ = F.monotonically_increasing_id()
-    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id_", id_)
-    rows = cut(rows.withColumn("part_", F.shiftright("id_", _ROW_BITS)).withColumn("id_", F.col("id_").bitwiseAND((1 << _ROW_BITS) - 1)))
-    sizes = rows.groupBy(group, "part_").agg(F.count("*").alias("n_"), F.min("id_").alias("first_"))
+    row = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("row_", row)
+    rows = cut(rows.withColumn("part_", F.shiftright("row_", _ROW_BITS)).withColumn("row_", F.col("row_").bitwiseAND((1 << _ROW_BITS) - 1)))
+    sizes = rows.groupBy(group, "part_").agg(F.count("*").alias("n_"), F.min("row_").alias("first_"))
     whole = W.partitionBy(group)
     before = F.coalesce(F.sum("n_").over(whole.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(group, "part_", (before - F.col("first_")).alias("shift_"), F.sum("n_").over(whole).alias("count_"))
-    return rows.join(sizes, [group, "part_"]).withColumn("place_", F.col("id_") + F.col("shift_")).drop("id_", "part_", "shift_")
+    return rows.join(sizes, [group, "part_"]).withColumn("place_", F.col("row_") + F.col("shift_")).drop("row_", "part_", "shift_")
