@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, imatch, langid, lines, media, merkle, mixing, nearjoin, quality, substrings, tokens
+from . import ann, bpe, imatch, langid, lines, media, merkle, mixing, nearjoin, quality, substrings, tokens, whitening
 
-MODULES = (tokens, media, mixing, nearjoin, lines, bpe, quality, ann, langid, substrings, imatch, merkle)
+MODULES = (tokens, media, mixing, nearjoin, lines, bpe, quality, ann, langid, substrings, imatch, merkle, whitening)
 
 
 def queries() -> dict:
