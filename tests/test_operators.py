@@ -154,7 +154,7 @@ def test_csv_json_and_rest(spark, tmp_path):
     for page in range(3):
         (tmp_path / f"page-{page * 2}.json").write_text(str([{"k": page * 2 + k} for k in range(2 if page < 2 else 1)]).replace("'", '"'))
     spark.dataSource.register(rest.RestSource)
-    pages = spark.read.format("rest_pages").options(url=f"file://{tmp_path}/page-{{offset}}.json", limit=2, max_pages=3, pages_per_task=3).load()
+    pages = spark.read.format("rest_pages").options(url=f"file://{tmp_path}/page-{{offset}}.json", limit=2, max_pages=3).load()
     assert pages.count() == 5
 
 
