@@ -87,16 +87,15 @@ def imatch_brute(rows):
     def hashes(text):
         words = terms(text) & inside or terms(text)
         one = lambda some: hashlib.md5(" ".join(sorted(some, key=str.encode)).encode()).digest()[: imatch.BYTES] if some else bytes(imatch.BYTES)
-        draw = lambda w, d: int(sha(w)[4 * d : 4 * d + 4], 16)
-        return [one(words)] + [one({w for w in words if draw(w, d) < 65536 >> (2 * depth)}) for depth in range(1, imatch.DEPTHS) for d in range(imatch.DRAWS)]
+        path = {w: "".join(str(int(c, 16) // 4) for c in sha(w)[: imatch.DEPTHS - 1]) for w in words}
+        return [[one({w for w in words if path[w].startswith(prefix)}) for prefix in some] for some in imatch.PREFIXES]
 
     def like(a, b):
         if a == b:
             return 1.0
         none = bytes(imatch.BYTES)
-        state = [0 if x == y == none else 2 if x == y else 1 for x, y in zip(a, b)]
-        parts = [state[1 + k * imatch.DRAWS :][: imatch.DRAWS] for k in range(imatch.DEPTHS - 1)]
-        for some in ([s for p in parts if 0 in p for s in p], state):
+        parts = [[0 if x == y == none else 2 if x == y else 1 for x, y in zip(*both)] for both in zip(a, b)]
+        for some in ([s for p in parts[1:] if 0 in p for s in p], sum(parts, [])):
             if any(some):
                 return some.count(2) / sum(s > 0 for s in some)
 
@@ -106,7 +105,7 @@ def imatch_brute(rows):
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
         a, b, c = hashes(t), hashes(edited), hashes(after)
-        out.append((id_, len(t), sha(edited), b"".join(a).hex(), b"".join(b).hex(), like(a, b), like(a, c)))
+        out.append((id_, len(t), sha(edited), b"".join(sum(a, [])).hex(), b"".join(sum(b, [])).hex(), like(a, b), like(a, c)))
     return out
 
 

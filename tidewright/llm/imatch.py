@@ -10,9 +10,11 @@ from .order import placed
 
 #: The band: terms that stand in at least one of RARE and at most one of COMMON documents.
 RARE, COMMON = 2000, 10
-#: Random draws of the lexicon, and the depths of each: the subset of a draw at depth k keeps a term with probability 4 ** -k.
-DRAWS, DEPTHS = 16, 7
-SUBSETS = 1 + (DEPTHS - 1) * DRAWS
+#: The random subsets of the lexicon by depth. A term's random path has DEPTHS - 1 base-4 digits; a subset is given by a prefix of
+#: the path. Subsets of depth k hold 4 ** -k of the terms: one at depth 0, all 4 at depth 1, all 16 at depth 2, then 16 again.
+DEPTHS = 7
+PREFIXES = [[""], [str(a) for a in range(4)], *([f"{a}{b}{'0' * k}" for a in range(4) for b in range(4)] for k in range(DEPTHS - 2))]
+SUBSETS = sum(map(len, PREFIXES))
 #: Bytes of one subset's hash; zeros stand for a subset without a term of the text.
 BYTES = 2
 #: Terms up to which a list of them is broadcast (about 100 bytes each); beyond, that join is shuffled.
@@ -27,9 +29,9 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)))
 
 
-def least_draw(depth: int) -> str:
-    """Four hex digits; a draw's number below it puts a term in the subset of a depth."""
-    return f"{4 ** (8 - depth):04x}"
+def path(term: Column) -> Column:
+    """A term's random path: the first hex digits of its SHA-256, each divided by four."""
+    return F.translate(F.substring(F.sha2(term.cast("binary"), 256), 1, DEPTHS - 1), "0123456789abcdef", "0000111122223333")
 
 
 def lexicon(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -41,26 +43,22 @@ def lexicon(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     n = df.count()
     found = df.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     found = cut(found.filter(F.col("n") >= -(-n // RARE)))
-    return found.filter(F.col("n") <= n // COMMON).select("term"), found.filter(F.col("n") > n // COMMON).select("term")
+    return found.filter(F.col("n") <= n // COMMON).select("term", path(F.col("term")).alias("path")), found.filter(F.col("n") > n // COMMON).select("term")
 
 
-def signature(df: DataFrame, words: str, out: str) -> DataFrame:
-    """Adds `out`, the fingerprint of a sorted array of terms: the hash of all, then of the subsets, depth by depth.
-
-    Each four hex digits of a term's SHA-256 are its number in one draw. A subset is hashed as its sorted terms.
-    """
+def signature(df: DataFrame, entries: str, out: str) -> DataFrame:
+    """Adds `out`, the fingerprint of an array of (term, path) sorted by term: the hashes of the terms of each subset, depth by depth."""
     hashed = lambda a: F.when(F.size(a) > 0, F.substring(F.unhex(F.md5(F.array_join(F.col(a)["term"], " ").cast("binary"))), 1, BYTES)).otherwise(F.lit(bytes(BYTES)))
-    entries = F.transform(words, lambda t: F.struct(t.alias("term"), F.sha2(t.cast("binary"), 256).alias("draws")))
-    df, names = df.withColumn("all_terms_", entries), ["all_terms_"]
+    names = [entries]
     for depth in range(1, DEPTHS):
 
-        def kept(draw: int) -> Column:
-            above = "all_terms_" if depth == 1 else f"in_{depth - 1}_{draw}_"
-            return F.filter(above, lambda x: F.substring(x["draws"], 4 * draw + 1, 4) < least_draw(depth))
+        def inside(prefix: str) -> Column:
+            above = entries if depth == 1 else f"in_{prefix[:-1]}_"
+            return F.filter(above, lambda x: F.substring(x["path"], depth, 1) == prefix[-1])
 
-        made = {f"in_{depth}_{draw}_": kept(draw) for draw in range(DRAWS)}
+        made = {f"in_{prefix}_": inside(prefix) for prefix in PREFIXES[depth]}
         df, names = df.withColumns(made), names + list(made)
-    return df.withColumn(out, F.concat(*map(hashed, names))).drop(*names)
+    return df.withColumn(out, F.concat(*map(hashed, names))).drop(*names[1:])
 
 
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -73,7 +71,8 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     none = F.lit(bytes(BYTES))
     state = lambda k: F.when(part(a, k) != part(b, k), 1).when(part(a, k) == none, 0).otherwise(2)
     df = df.withColumn("states_", F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), state))
-    depths = F.transform(F.sequence(F.lit(0), F.lit(DEPTHS - 2)), lambda d: F.slice("states_", 2 + d * DRAWS, F.lit(DRAWS)))
+    starts = [1 + sum(map(len, PREFIXES[:k])) for k in range(DEPTHS)]
+    depths = F.array(*(F.slice("states_", start, len(some)) for start, some in zip(starts[1:], PREFIXES[1:])))
     df = df.withColumn("sparse_", F.flatten(F.filter(depths, lambda s: F.array_contains(s, 0))))
     held = lambda s: F.size(F.filter(s, lambda x: x > 0))
     share = lambda s: F.size(F.filter(s, lambda x: x == 2)) / F.nullif(held(s), F.lit(0))
@@ -81,7 +80,7 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
 
 
 def _with_words(rows: DataFrame, inside: DataFrame, common: DataFrame) -> DataFrame:
-    """The columns text_ and edited_ replaced by own_ and new_, their sorted terms of the lexicon, or all terms of a text that has none of it.
+    """The columns text_ and edited_ replaced by own_ and new_, their terms of the lexicon (or all, of a text that has none of it) with their paths, sorted by term.
 
     Terms of both texts are looked up once. Rows of a key stay where they are if the lexicon is broadcast. Else terms meet
     it by shuffle; common terms, if they may be broadcast, are told before, so that no term has most of the rows.
@@ -93,26 +92,25 @@ def _with_words(rows: DataFrame, inside: DataFrame, common: DataFrame) -> DataFr
     head = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("which"), F.col("rest_").alias("rest")))
     every = F.concat(head, marked(F.array_intersect("a_", "b_"), 3), marked(F.array_except("a_", "b_"), 1), marked(F.array_except("b_", "a_"), 2))
     pairs = rows.select(*KEY, F.explode(every).alias("x_")).select(*KEY, "x_.*")
-    known = inside.withColumn("known", F.lit(True))
     if inside.count() <= BROADCAST:
-        pairs = pairs.join(F.broadcast(known), "term", "left")
+        pairs = pairs.join(F.broadcast(inside), "term", "left")
     else:
         if common.count() <= BROADCAST:
             pairs = pairs.join(F.broadcast(common.withColumn("common_", F.lit(True))), "term", "left")
         else:
             pairs = pairs.withColumn("common_", F.lit(None).cast("boolean"))
         apart = F.col("common_") | F.col("term").isNull()
-        there = pairs.filter(apart).withColumn("known", F.lit(None).cast("boolean"))
-        pairs = pairs.filter(~F.coalesce(apart, F.lit(False))).join(known, "term", "left").unionByName(there).drop("common_")
-    pair = F.when(F.col("which") > 0, F.struct("term", "which", F.coalesce("known", F.lit(False)).alias("known")))
-    found = pairs.groupBy(*KEY).agg(F.first("rest", ignorenulls=True).alias("rest_"), F.collect_list(pair).alias("pairs_"))
+        there = pairs.filter(apart).withColumn("path", F.lit(None).cast("string"))
+        pairs = pairs.filter(~F.coalesce(apart, F.lit(False))).join(inside, "term", "left").unionByName(there).drop("common_")
+    found = pairs.groupBy(*KEY).agg(F.first("rest", ignorenulls=True).alias("rest_"), F.collect_list(F.when(F.col("which") > 0, F.struct("term", "path", "which"))).alias("pairs_"))
 
-    def words(which: int) -> Column:
+    def entries(which: int) -> Column:
         own = F.filter("pairs_", lambda x: x["which"].bitwiseAND(F.lit(which)) > 0)
-        inside_ = F.filter("pairs_", lambda x: (x["which"].bitwiseAND(F.lit(which)) > 0) & x["known"])
-        return F.sort_array(F.when(F.size(inside_) > 0, inside_["term"]).otherwise(own["term"]))
+        inside_ = F.filter("pairs_", lambda x: (x["which"].bitwiseAND(F.lit(which)) > 0) & x["path"].isNotNull())
+        every = F.transform(own, lambda x: F.struct(x["term"].alias("term"), path(x["term"]).alias("path"), x["which"].alias("which")))
+        return F.sort_array(F.when(F.size(inside_) > 0, inside_).otherwise(every))
 
-    return found.select(*KEY, "rest_.*", words(1).alias("own_"), words(2).alias("new_"))
+    return found.select(*KEY, "rest_.*", entries(1).alias("own_"), entries(2).alias("new_"))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,21 +132,25 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = df.select(value(id_col).isNull().alias("absent_"), F.coalesce(value(id_col), F.lit(0).cast(kind)).alias("id_"), F.xxhash64(text).alias("mark_"), text.alias("text_"))
     inside, common = lexicon(keyed, "text_")
     ids = keyed.select(F.lit(0).alias("all_"), *KEY, F.char_length("text_").alias("chars_")).distinct()
-    ids = cut(placed(ids, "all_", F.col("absent_").desc(), F.col("id_").asc(), F.col("mark_").asc()).select(*KEY, "chars_", "place_", "count_"))
+    ids = placed(ids, "all_", F.col("absent_").desc(), F.col("id_").asc(), F.col("mark_").asc()).select(*KEY, "chars_", "place_", "count_")
     quarter = F.floor(F.col("chars_") / 4).cast("int")
     before = ids.select(((F.col("place_") + 1) % F.col("count_")).alias("place_"), *(F.col(k).alias(f"to_{k}") for k in KEY), quarter.alias("take_"))
     rows = keyed.groupBy(*KEY).agg(F.first("text_").alias("text_"), F.count("*").alias("copies_")).join(ids.join(before, "place_"), KEY)
     heads = rows.select(*(F.col(f"to_{k}").alias(k) for k in KEY), F.substring("text_", F.lit(1), F.col("take_")).alias("head_"))
     rows = rows.drop("take_", *(f"to_{k}" for k in KEY)).join(heads, KEY)
     rows = rows.withColumn("edited_", F.concat(F.substring("text_", F.lit(1), F.col("chars_") - quarter), "head_"))
-    rows = _with_words(rows.drop("head_").withColumn("sha_", F.sha2(F.col("edited_").cast("binary"), 256)), inside, common)
+    rows = _with_words(rows.drop("head_").withColumn("sha_", F.unhex(F.sha2(F.col("edited_").cast("binary"), 256))), inside, common)
     rows = signature(signature(rows, "own_", "own_print_"), "new_", "new_print_").drop("own_", "new_")
-    made = cut(with_likeness(rows, "own_print_", "new_print_", "near_edited"))
-    following = made.select(((F.col("place_") + F.col("count_") - 1) % F.col("count_")).alias("place_"), F.col("own_print_").alias("next_print_"))
-    out = with_likeness(made.join(following, "place_"), "own_print_", "next_print_", "near_next")
+    rows = with_likeness(rows, "own_print_", "new_print_", "near_edited")
+    # a row goes to its own place, its fingerprint also to the one before; so nothing is made twice or stored for it
+    own = F.struct("absent_", "id_", "copies_", "chars_", "sha_", "own_print_", "new_print_", "near_edited")
+    before = (F.col("place_") + F.col("count_") - 1) % F.col("count_")
+    sent = F.array(F.struct(F.col("place_").alias("place"), own.alias("own"), F.lit(None).cast("binary").alias("next")), F.struct(before.alias("place"), F.lit(None).cast(rows.select(own).schema[0].dataType).alias("own"), F.col("own_print_").alias("next")))
+    met = rows.select(F.explode(sent).alias("x_")).select("x_.*").groupBy("place").agg(F.first("own", ignorenulls=True).alias("own"), F.first("next", ignorenulls=True).alias("next_print_"))
+    out = with_likeness(met.select("own.*", "next_print_"), "own_print_", "next_print_", "near_next")
     out = out.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))))
     shown = lambda c: F.lower(F.hex(c))
-    return out.select(F.when(~F.col("absent_"), F.col("id_")).alias(id_col), F.col("chars_").cast("long").alias("n_chars"), F.col("sha_").alias("edited_sha256"), shown("own_print_").alias("fingerprint"), shown("new_print_").alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select(F.when(~F.col("absent_"), F.col("id_")).alias(id_col), F.col("chars_").cast("long").alias("n_chars"), shown("sha_").alias("edited_sha256"), shown("own_print_").alias("fingerprint"), shown("new_print_").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def queries() -> dict:
@@ -165,13 +167,11 @@ w AS (SELECT place, 1 AS side, unnest(list_distinct(regexp_extract_all(translate
 x AS (SELECT term, true AS known FROM w WHERE side = 1 GROUP BY term
       HAVING count(*) BETWEEN (SELECT ceil(count(*) / {rare})::BIGINT FROM d) AND (SELECT count(*) // {common} FROM d)),
 k AS (SELECT w.*, coalesce(known, false) AS known, max(coalesce(known, false)) OVER (PARTITION BY place, side) AS has_known FROM w LEFT JOIN x USING (term)),
-t AS (SELECT place, side, term, sha256(term) AS sha FROM k WHERE known OR NOT has_known),
-l AS (SELECT unnest([{least}]) AS least, unnest(range(1, {depths})) AS depth),
-s AS (SELECT place, side, 0 AS subset, 0 AS depth, left(md5(string_agg(term, ' ' ORDER BY term)), {digits}) AS hash FROM t GROUP BY 1, 2
-      UNION ALL SELECT place, side, 1 + (depth - 1) * {draws} + draw, depth, left(md5(string_agg(term, ' ' ORDER BY term)), {digits})
-      FROM t, range({draws}) r(draw), l WHERE substr(sha, 4 * draw + 1, 4) < least GROUP BY place, side, draw, depth),
-z AS (SELECT e.place, q.side, p.subset, CASE WHEN p.subset > 0 THEN (p.subset - 1) // {draws} + 1 ELSE 0 END AS depth, coalesce(s.hash, repeat('0', {digits})) AS hash
-      FROM e CROSS JOIN (VALUES (1), (2)) q(side) CROSS JOIN range({subsets}) p(subset) LEFT JOIN s ON s.place = e.place AND s.side = q.side AND s.subset = p.subset),
+t AS (SELECT place, side, term, translate(left(sha256(term), {depths} - 1), '0123456789abcdef', '0000111122223333') AS path FROM k WHERE known OR NOT has_known),
+l(subset, depth, prefix) AS (VALUES {prefixes}),
+s AS (SELECT place, side, subset, left(md5(string_agg(term, ' ' ORDER BY term)), {digits}) AS hash FROM t JOIN l ON starts_with(path, prefix) GROUP BY 1, 2, 3),
+z AS (SELECT e.place, q.side, l.subset, l.depth, coalesce(s.hash, repeat('0', {digits})) AS hash
+      FROM e CROSS JOIN (VALUES (1), (2)) q(side) CROSS JOIN l LEFT JOIN s ON s.place = e.place AND s.side = q.side AND s.subset = l.subset),
 f AS (SELECT place, side, string_agg(hash, '' ORDER BY subset) AS print FROM z GROUP BY 1, 2),
 c AS (SELECT a.place, j.kind, a.depth, CASE WHEN a.hash <> b.hash THEN 1 WHEN a.hash = repeat('0', {digits}) THEN 0 ELSE 2 END AS state
       FROM z a CROSS JOIN (VALUES (1), (2)) j(kind) JOIN e ON e.place = a.place
@@ -187,5 +187,6 @@ JOIN h h1 ON h1.place = e.place AND h1.kind = 1 JOIN h h2 ON h2.place = e.place
 
 
 def oracle_sql() -> dict[str, str]:
-    least = ", ".join(f"'{least_draw(k)}'" for k in range(1, DEPTHS))
-    return {"op11_imatch_fingerprints": SQL.format(upper=UPPER, lower=LOWER, term=TERM, rare=RARE, common=COMMON, least=least, depths=DEPTHS, draws=DRAWS, digits=2 * BYTES, subsets=SUBSETS)}
+    flat = [(depth, prefix) for depth, some in enumerate(PREFIXES) for prefix in some]
+    prefixes = ", ".join(f"({k}, {depth}, '{prefix}')" for k, (depth, prefix) in enumerate(flat))
+    return {"op11_imatch_fingerprints": SQL.format(upper=UPPER, lower=LOWER, term=TERM, rare=RARE, common=COMMON, depths=DEPTHS, prefixes=prefixes, digits=2 * BYTES)}
