@@ -1,6 +1,7 @@
 """Scans and transactional writes of a database, on a local file."""
 
 import sqlite3
+import uuid
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.sources import dbapi
+from tidewright.sources import database, dbapi, files
 
 
 def values(df):
@@ -134,3 +135,42 @@ def test_only_attempts_that_count(spark, place):
     writer.commit([kept, other])
     writer.commit([kept, other])
     assert sorted(ask(place, "SELECT k FROM t")) == [(1,), (2,), (3,), (4,)]
+
+
+def test_jdbc_pushes_filters_and_columns(spark):
+    """Spark's own database source, on the database that it brings along."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.range(1000).selectExpr("id", "cast(id % 10 as int) k", "concat('n', id % 3) s", "cast(id / 8 as decimal(12, 3)) d")
+    database.write_table(df, url, "t", mode="overwrite", createTableColumnTypes="s VARCHAR(20)", **driver)
+    database.write_table(df.limit(0), url, "t", **driver)
+    t = database.read_table(spark, url, "t", split=("ID", 0, 1000, 4), **driver)
+    assert t.rdd.getNumPartitions() == 4 and values(t.toDF("id", "k", "s", "d")) == values(df)
+    some = t.filter("k = 3 and s = 'n1'").select("id")
+    scan = next(x for x in plan(some).split("\n") if "Scan JDBC" in x)
+    assert "EqualTo(k,3)" in scan and "EqualTo(s,n1)" in scan and "[id" in scan and "ReadSchema: struct<id:bigint>" in scan
+    assert values(some) == values(df.filter("k = 3 and s = 'n1'").select("id"))
+    kinds = lambda x: {f.name.lower(): f.dataType.simpleString() for f in x.schema}
+    assert kinds(t)["d"] == "decimal(12,3)"
+    assert kinds(database.read_table(spark, url, "t", doubles=True, schema="k BIGINT", **driver)) | {"s": ""} == {"id": "bigint", "k": "bigint", "s": "", "d": "double"}
+    grouped = database.read_table(spark, url, query='SELECT "k", count(*) AS n FROM t GROUP BY "k"', **driver)
+    assert values(grouped.filter("k < 2")) == [(0, 100), (1, 100)]
+
+
+def test_storage_options(spark, tmp_path):
+    at, options = files.located("s3://b/x", {"aws_access_key_id": "a", "aws_secret_access_key": "b", "aws_session_token": "c", "aws_endpoint": "http://h:9", "aws_allow_http": "true"})
+    assert at == "s3a://b/x" and options["fs.s3a.access.key"] == "a" and options["fs.s3a.endpoint"] == "http://h:9" and options["fs.s3a.connection.ssl.enabled"] == "false"
+    assert options["fs.s3a.aws.credentials.provider"].endswith("TemporaryAWSCredentialsProvider")
+    assert files.located("s3a://b/x", {"aws_skip_signature": "true"})[1]["fs.s3a.aws.credentials.provider"].endswith("AnonymousAWSCredentialsProvider")
+    azure = files.located("az://box/d/x", {"azure_storage_account_name": "acc", "azure_storage_account_key": "k"})
+    assert azure == ("abfss://box@acc.dfs.core.windows.net/d/x", {"fs.azure.account.key.acc.dfs.core.windows.net": "k"})
+    assert files.located("gs://b/x") == ("gs://b/x", {}) and files.located("/tmp/x") == ("/tmp/x", {})
+    for bad in (("az://box/x", {}), ("s3://b/x", {"aws_key": "a"})):
+        with pytest.raises(ValueError):
+            files.located(*bad)
+    # options reach the file system of this read alone
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    mount = {"fs.viewfs.mounttable.elsewhere.link./data": f"file://{tmp_path}"}
+    assert files.read_parquet(spark, "viewfs://elsewhere/data/in", storage=mount).count() == 5
+    spark.range(3).selectExpr("id k").write.csv(str(tmp_path / "csv"), header=True)
+    assert files.read_csv(spark, "viewfs://elsewhere/data/csv", storage=mount).count() == 3

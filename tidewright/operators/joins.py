@@ -7,8 +7,11 @@ from itertools import product
 from operator import and_
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 Pairs = list[tuple[str, str]]
 
 
@@ -48,3 +51,40 @@ def as_of_validity(facts: DataFrame, versions: DataFrame, on: Pairs, at: str, st
     """Each fact with the version that was valid then: start <= at < end, an absent end being open."""
     keys = [facts[x] == versions[y] for x, y in on]
     return facts.join(versions, reduce(and_, keys) & (facts[at] >= versions[start]) & (versions[end].isNull() | (facts[at] < versions[end])))
+
+
+def as_of_merge(facts: DataFrame, versions: DataFrame, on: Pairs, at: str, start: str = "valid_from", end: str = "valid_to", how: str = "inner") -> DataFrame:
+    """The rows of `as_of_validity`, for versions of a key that don't overlap, without joining facts with versions.
+
+    Both sides are one table, ordered by key and time, in which each fact takes the last version before it. The table is
+    range-partitioned by key and time, so the rows of a hot key lie in many partitions; what a partition's first rows lack is
+    the last version of an earlier one, of which there is one row a partition. A fact without key or time meets no version;
+    of versions with one start the one that ends last counts; a version that ends where it starts holds nothing. how:
+    inner, or left to keep facts without a version.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(how)
+    key, none = [f"key_{k}_" for k in range(len(on))], F.lit(None)
+    whole = lambda df: F.struct(*(F.col(c) for c in df.columns))
+    held = versions.filter(F.col(end).isNull() | (F.col(start) < F.col(end)))
+    a = facts.select(*(F.col(x).alias(k) for k, (x, _) in zip(key, on)), F.col(at).alias("time_"), F.lit(1).alias("kind_"), whole(facts).alias("fact_"))
+    b = held.select(*(F.col(y).alias(k) for k, (_, y) in zip(key, on)), F.col(start).alias("time_"), F.lit(0).alias("kind_"), F.lit(True).alias("is_"), F.col(end).alias("end_"), whole(held).alias("version_"))
+    a = a.select("*", none.cast("boolean").alias("is_"), none.cast(b.schema["end_"].dataType).alias("end_"), none.cast(b.schema["version_"].dataType).alias("version_"))
+    b = b.dropna(subset=[*key, "time_"]).withColumn("fact_", none.cast(a.schema["fact_"].dataType))
+    # an open version sorts behind the closed ones of its start, so that it is the last
+    order = [*(F.col(k) for k in key), F.col("time_"), F.col("kind_"), F.col("end_").asc_nulls_last()]
+    rows = cut(a.unionByName(b).repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+    within = W.partitionBy("part_", *key).orderBy(*order[len(key) :])
+    rows = rows.withColumn("last_", F.last("version_", ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, 0)))
+    ends = rows.groupBy("part_").agg(F.max(F.struct(*key)).alias("key_"), F.count("*").alias("n_"))
+    tail = F.max_by("version_", F.struct("time_", F.col("end_").isNull(), "end_"))
+    lasts = rows.filter("is_").join(F.broadcast(ends), "part_").filter(F.struct(*key) == F.col("key_")).groupBy("part_").agg(F.first("key_").alias("key_"), tail.alias("tail_"))
+    firsts = rows.groupBy("part_").agg(F.min(F.struct(*key)).alias("first_"))
+    before = lasts.select(F.col("part_").alias("from_"), "key_", "tail_")
+    carried = firsts.join(before, (F.col("first_") == F.col("key_")) & (F.col("from_") < F.col("part_"))).groupBy("part_").agg(F.first("first_").alias("first_"), F.max_by("tail_", "from_").alias("tail_"))
+    found = rows.filter("kind_ = 1").join(F.broadcast(carried), "part_", "left")
+    last = F.coalesce("last_", F.when(F.struct(*key) == F.col("first_"), F.col("tail_")))
+    found = found.withColumn("last_", last).withColumn("last_", F.when(F.col(f"last_.{end}").isNull() | (F.col("time_") < F.col(f"last_.{end}")), F.col("last_")))
+    if how == "inner":
+        found = found.filter(F.col("last_").isNotNull())
+    return found.select(*(F.col("fact_")[c].alias(c) for c in facts.columns), *(F.col("last_")[c].alias(c) for c in versions.columns))

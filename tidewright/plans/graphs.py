@@ -10,13 +10,14 @@ from .registry import Registry, Tables
 
 query = Registry()
 
-_BIND = "SELECT 'p' || (l_suppkey % 7) AS pipeline_id, 'n' || (l_partkey % 5) AS node_id, CASE WHEN l_linenumber % 2 = 0 THEN 'sink' ELSE 'source' END AS direction, 'file:///d/' || (l_partkey % 40) AS resource_fingerprint FROM lineitem"
+#: Each supplier is a pipeline, each part a node, each order a resource that its even lines write and its odd lines read.
+_BIND = "SELECT 'p' || l_suppkey AS pipeline_id, 'n' || l_partkey AS node_id, CASE WHEN l_linenumber % 2 = 0 THEN 'sink' ELSE 'source' END AS direction, 'file:///d/' || l_orderkey AS resource_fingerprint FROM lineitem"
 
 
 def _bindings(spark, sf_dir) -> DataFrame:
-    line = Tables(spark, sf_dir).lineitem
-    text = lambda p, c, m: F.concat(F.lit(p), (F.col(c) % m).cast("string"))
-    return line.select(text("p", "l_suppkey", 7).alias("pipeline_id"), text("n", "l_partkey", 5).alias("node_id"), F.when(F.col("l_linenumber") % 2 == 0, "sink").otherwise("source").alias("direction"), text("file:///d/", "l_partkey", 40).alias("resource_fingerprint"))
+    named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    side = F.when(F.col("l_linenumber") % 2 == 0, "sink").otherwise("source")
+    return Tables(spark, sf_dir).lineitem.select(named("p", "l_suppkey").alias("pipeline_id"), named("n", "l_partkey").alias("node_id"), side.alias("direction"), named("file:///d/", "l_orderkey").alias("resource_fingerprint"))
 
 
 @query(f"""WITH b AS (SELECT DISTINCT * FROM ({_BIND})) SELECT u.pipeline_id AS upstream_pipeline_id, u.node_id AS upstream_node_id, d.pipeline_id AS downstream_pipeline_id, d.node_id AS downstream_node_id, u.resource_fingerprint
@@ -83,21 +84,22 @@ def gr_cycles(spark, sf_dir):
 
 
 @query(f"""WITH b AS (SELECT DISTINCT * FROM ({_BIND}) WHERE NOT (direction = 'sink' AND right(resource_fingerprint, 1) = '7'))
-           SELECT pipeline_id, node_id, resource_fingerprint, 'dangling' AS kind FROM b WHERE direction = 'source' AND resource_fingerprint NOT IN (SELECT resource_fingerprint FROM b WHERE direction = 'sink')""")
+           SELECT pipeline_id, node_id, resource_fingerprint, 'dangling' AS kind FROM b WHERE direction = 'source' AND resource_fingerprint NOT IN (SELECT resource_fingerprint FROM b WHERE direction = 'sink')
+           UNION ALL SELECT pipeline_id, node_id, resource_fingerprint, 'orphaned' FROM b WHERE direction = 'sink' AND resource_fingerprint NOT IN (SELECT resource_fingerprint FROM b WHERE direction = 'source')""")
 def gr_dangling_and_orphaned(spark, sf_dir):
     b = _bindings(spark, sf_dir).filter(~((F.col("direction") == "sink") & F.col("resource_fingerprint").endswith("7")))
     out = lineage.dangling_sources(b).withColumn("kind", F.lit("dangling"))
     return out.unionByName(lineage.orphaned_sinks(b).withColumn("kind", F.lit("orphaned")))
 
 
-_COLS = "SELECT DISTINCT 'p' || (l_suppkey % 7) AS pipeline_id, 'n' || (l_partkey % 5) AS node_id, CASE WHEN l_linenumber % 2 = 0 THEN 'sink' ELSE 'source' END AS direction, 'file:///d/' || (l_partkey % 9) AS resource_fingerprint, 'c' || CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey % 11 ELSE l_suppkey % 13 END AS \"column\" FROM lineitem"
+_COLS = _BIND.replace("SELECT", "SELECT DISTINCT").replace(" FROM", ", CASE l_returnflag WHEN 'A' THEN 'c1' WHEN 'N' THEN 'c2' ELSE 'c3' END AS \"column\" FROM")
 
 
 def _columns(spark, sf_dir) -> DataFrame:
-    line = Tables(spark, sf_dir).lineitem
-    text = lambda p, c, m: F.concat(F.lit(p), (F.col(c) % m).cast("string"))
-    even = F.col("l_linenumber") % 2 == 0
-    return line.select(text("p", "l_suppkey", 7).alias("pipeline_id"), text("n", "l_partkey", 5).alias("node_id"), F.when(even, "sink").otherwise("source").alias("direction"), text("file:///d/", "l_partkey", 9).alias("resource_fingerprint"), F.when(even, text("c", "l_suppkey", 11)).otherwise(text("c", "l_suppkey", 13)).alias("column")).distinct()
+    named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    side = F.when(F.col("l_linenumber") % 2 == 0, "sink").otherwise("source")
+    column = F.when(F.col("l_returnflag") == "A", "c1").when(F.col("l_returnflag") == "N", "c2").otherwise("c3")
+    return Tables(spark, sf_dir).lineitem.select(named("p", "l_suppkey").alias("pipeline_id"), named("n", "l_partkey").alias("node_id"), side.alias("direction"), named("file:///d/", "l_orderkey").alias("resource_fingerprint"), column.alias("column")).distinct()
 
 
 @query(f"""WITH c AS ({_COLS}) SELECT u.resource_fingerprint, u."column", u.pipeline_id AS upstream_pipeline_id, u.node_id AS upstream_node_id, d.pipeline_id AS downstream_pipeline_id, d.node_id AS downstream_node_id
@@ -111,11 +113,11 @@ def gr_one_sided_columns(spark, sf_dir):
     return lineage.one_sided_columns(_columns(spark, sf_dir))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT pipeline_id AS node, "column" FROM ({_COLS})), e AS (SELECT DISTINCT 'p' || (l_suppkey % 7) AS src, 'p' || ((l_suppkey + 1) % 7) AS dst FROM lineitem)
+@query(f"""WITH c AS (SELECT DISTINCT pipeline_id AS node, "column" FROM ({_COLS})), e AS (SELECT DISTINCT 'p' || l_suppkey AS src, 'p' || (l_suppkey + 1) AS dst FROM lineitem)
            SELECT src, dst, u."column" AS upstream_column, d."column" AS downstream_column, 'opaque' AS relationship, 'opaque' AS confidence FROM e JOIN c u ON u.node = src JOIN c d ON d.node = dst""")
 def gr_opaque_edges(spark, sf_dir):
     line = Tables(spark, sf_dir).lineitem
-    text = lambda k: F.concat(F.lit("p"), ((F.col("l_suppkey") + k) % 7).cast("string"))
+    text = lambda k: F.concat(F.lit("p"), (F.col("l_suppkey") + k).cast("string"))
     e = line.select(text(0).alias("src"), text(1).alias("dst")).distinct()
     return lineage.opaque_edges(e, _columns(spark, sf_dir).select(F.col("pipeline_id").alias("node"), "column").distinct())
 
@@ -154,7 +156,7 @@ def gr_column_facets(spark, sf_dir):
     return lineage.column_facets(_edges(spark, sf_dir))
 
 
-@query(f"""SELECT resource_fingerprint, list(DISTINCT pipeline_id ORDER BY pipeline_id) FILTER (direction = 'sink') AS producers, list(DISTINCT pipeline_id ORDER BY pipeline_id) FILTER (direction = 'source') AS consumers FROM ({_BIND}) GROUP BY 1""")
+@query(f"""SELECT resource_fingerprint, coalesce(list(DISTINCT pipeline_id ORDER BY pipeline_id) FILTER (direction = 'sink'), []) AS producers, coalesce(list(DISTINCT pipeline_id ORDER BY pipeline_id) FILTER (direction = 'source'), []) AS consumers FROM ({_BIND}) GROUP BY 1""")
 def ct_discover(spark, sf_dir):
     return resources.discover(_bindings(spark, sf_dir))
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import parameters, scalars
 from ..operators import assertions as dq
-from ..operators import backfill, incremental, profile, snapshots, writes
+from ..operators import backfill, incremental, profile, sketches, snapshots, writes
 from ..operators.joins import band_join
 from ..operators.ranks import with_rank
 from ..operators.shared import checkpoint_folder
+from ..operators.writes import ParquetTable
 from ..sources import files
 from .registry import Registry, Tables, money
 
@@ -542,3 +543,15 @@ def src_inferred_rows(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
     body = F.to_json(F.struct("event_id", k.alias("k"), F.struct(F.col("event_type").alias("t")).alias("nested"), F.lit(None).cast("string").alias("never"), F.col("user_id").alias("u")), {"ignoreNullFields": "false"})
     return files.inferred_rows(e.select(body.alias("body")), "body", {"u": "string"}).select("event_id", "k", "nested", "never", "u")
+
+
+@query("""
+SELECT event_type, count(*) AS rows, count(*) - count(user_id) AS user_id_nulls, count(*) - count(value) AS value_nulls, count(DISTINCT user_id) AS user_id_distinct,
+       min(value) AS value_low, max(value) AS value_high, quantile_disc(value, 0.5) AS value_median, quantile_disc(value, 0.9) AS value_p90 FROM events GROUP BY event_type""")
+def pf_sketched_days(spark, sf_dir):
+    """Sketches of each day and type are stored, those of the second half of the month later than the others; a profile merges them without the events."""
+    table = ParquetTable(spark, f"{checkpoint_folder(spark)}/sketches-{uuid.uuid4().hex}")
+    e = Tables(spark, sf_dir).events.withColumn("day", F.to_date("ts"))
+    for later in (False, True):
+        sketches.refresh(table, e.filter((F.col("day") >= F.lit("2024-01-16").cast("date")) == F.lit(later)), "day", ["event_type"], distinct=["user_id"], numbers=["value"])
+    return sketches.estimated(sketches.merged(table.read(), ["event_type"]), {"median": 0.5, "p90": 0.9})

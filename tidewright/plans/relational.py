@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.joins import as_of_validity, band_join, collision_safe_join, null_safe_join
+from ..operators.joins import as_of_merge, as_of_validity, band_join, collision_safe_join, null_safe_join
 from ..operators.ranks import percentiles, rank_quintile
 from ..operators.select import columns_matching, exclude
 from .registry import Registry, Tables, money
@@ -179,6 +179,16 @@ def jn_as_of_validity(spark, sf_dir):
     return as_of_validity(facts, versions, [("user_id", "o_custkey")], "at").select("event_id", "o_orderkey")
 
 
+@query(query.sql["jn_as_of_validity"])
+def jn_as_of_merge(spark, sf_dir):
+    """The same rows from one ordered table of orders and events, spread also where a user has most of them."""
+    t = Tables(spark, sf_dir)
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    versions = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("valid_from"), F.lead("o_orderdate").over(w).alias("valid_to"))
+    facts = t.events.select("event_id", "user_id", F.expr("timestamp_ntz '1997-01-01 00:00:00' + make_dt_interval(cast(event_id % 700 as int))").alias("at"))
+    return as_of_merge(facts, versions, [("user_id", "o_custkey")], "at").select("event_id", "o_orderkey")
+
+
 @query("""SELECT a.k, a.n AS n_left, b.n AS n_right FROM (SELECT nullif(c_nationkey, 3) AS k, count(*) AS n FROM customer GROUP BY 1) a
           FULL JOIN (SELECT nullif(s_nationkey, 3) AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k WHERE a.n IS NOT NULL""")
 def jn_null_safe(spark, sf_dir):

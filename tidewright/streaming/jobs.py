@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.scalars import file_parts
 from ..operators.assertions import Rule, run_suite
 from ..operators.snapshots import apply_snapshot, first_snapshot
 from ..operators.writes import ParquetTable
@@ -84,3 +87,105 @@ def check_into(rules: list[Rule], results: ParquetTable, quarantine: ParquetTabl
         append_into(quarantine)(batch.filter(bad), number)
 
     return each
+
+
+class LateRows(StatefulProcessor):
+    """Tells rows that come behind the watermark from those in time, and drops repeats of a key.
+
+    The key's state is the time of its first row. A timer clears it when the watermark has passed that time: later
+    repeats are late anyway. A late row goes on with late_ = true whether its key is known or not, so none is lost.
+    """
+
+    def __init__(self, column: str) -> None:
+        self.column = column
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        behind, known = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"), self.seen.exists()
+        for batch in rows:
+            late = (batch[self.column].isna() | (batch[self.column] < behind)).to_numpy()
+            keep = late.copy()
+            in_time = [k for k in range(len(batch)) if not late[k]]
+            if in_time and not known:
+                first = min(in_time, key=lambda k: batch[self.column].iloc[k])
+                at = batch[self.column].iloc[first]
+                self.seen.update((at.to_pydatetime(),))
+                self.handle.registerTimer(int(at.timestamp() * 1000) + 1)
+                known = keep[first] = True
+            yield batch.assign(late_=late)[keep]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def with_lateness(stream: DataFrame, column: str, late: str, *keys: str) -> DataFrame:
+    """Rows of a stream with late_: whether their time is behind the watermark, which is `late` behind the latest time of the batches before.
+
+    Spark drops rows behind a watermark before it works on them. Here the watermark stands on a copy of the column that goes
+    no further, so late rows reach the state too (transformWithState), and can be put aside. Rows in time are kept once
+    for each value of `keys`. A row without time is late. Needs the RocksDB state store (`with_rocksdb`).
+    """
+    kind = stream.schema[column].dataType
+    named = stream.withColumn(column, F.col(column).cast("timestamp"))
+    marked = named.withColumn("watermark_", F.coalesce(column, F.timestamp_seconds(F.lit(0)))).withWatermark("watermark_", late).drop("watermark_")
+    schema = T.StructType([*marked.schema, T.StructField("late_", T.BooleanType())])
+    out = marked.groupBy(*keys).transformWithStateInPandas(LateRows(column), schema, "append", "eventTime")
+    return out.withColumn(column, F.col(column).cast(kind))
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB; the session's setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def split_late_into(table: ParquetTable, aside: ParquetTable):
+    """For run_available on `with_lateness`: rows in time are added to a table, late ones to another, each batch under its number."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        try:
+            append_into(table)(rows.filter("not late_").drop("late_"), number)
+            append_into(aside)(rows.filter("late_").drop("late_"), number)
+        finally:
+            rows.unpersist()
+
+    return each
+
+
+def arrival_stream(spark: SparkSession, path: str, files_at_once: int | None = None) -> DataFrame:
+    """Files at a path or glob as they arrive, their contents unread: file_path, file_name, file_dir, file_ext, length, modified. The checkpoint is the set of files seen."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
+    found = (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).load(path)
+    at = F.col("_metadata.file_path")
+    return found.select(at.alias("file_path"), *(c.alias(n) for n, c in file_parts(at).items()), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def arrivals_into(files: ParquetTable, batches: ParquetTable):
+    """For run_available on `arrival_stream`: notes each file under its batch, and of each batch file_count, the sorted file_paths, and the parts of the first one.
+
+    A batch that comes again replaces what it left.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        append_into(files)(batch, number)
+        now = files.read().filter(F.col("batch_") == number)
+        first = F.min_by(F.struct("file_path", "file_name", "file_dir", "file_ext"), "file_path")
+        summary = now.agg(F.count("*").alias("file_count"), F.array_sort(F.collect_list("file_path")).alias("file_paths"), first.alias("first_")).filter("file_count > 0")
+        append_into(batches)(summary.select("file_count", "file_paths", "first_.*"), number)
+
+    return each
