@@ -227,3 +227,25 @@ def test_sketches_keep_their_bounds(spark, tmp_path):
         assert abs(rank - q) < 2.3 / 200 * 1.5, name
     none = sketches.estimated(sketches.sketched(df.filter("id is null" if "id" in df.columns else "day < 0"), [], **options), {"p50": 0.5}).first()
     assert none["rows"] == 0 and none["v_p50"] is None
+
+
+def test_snapshot_batches_touch_few_files(spark, tmp_path):
+    """History of batches, a key's null included, against one snapshot after the other; files without a key that comes stay."""
+    from tidewright.operators import snapshots
+
+    table = ParquetTable(spark, str(tmp_path / "h"))
+    day = lambda d: datetime(2024, 1, d)
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string, at timestamp_ntz")
+    first = [(k, "a", day(1)) for k in range(100)] + [(None, "n", day(1))]
+    batches = [[(3, "b", day(2)), (None, "m", day(2)), (100, "new", day(2))], [(3, "b", day(2)), (4, "late", day(1))], [(3, "c", day(4)), (100, "old", day(1))]]
+    want = snapshots.first_snapshot(make(first), ["k"], day(1))
+    table.write(want.repartitionByRange(5, "k"), "append")
+    each = jobs.snapshot_into(table, ["k"], "at")
+    for n, rows in enumerate(batches):
+        before = files(str(tmp_path / "h"))
+        each(make(rows), n)
+        now = max(r[2] for r in rows)
+        want = snapshots.apply_snapshot(want, make(rows), ["k"], now, check=None, updated_at="at", partial=True, order="at")
+        after = files(str(tmp_path / "h"))
+        assert sum(after.get(f) == at for f, at in before.items()) >= len(before) - 3
+        assert values(table.read().select(*want.columns)) == values(want)

@@ -35,7 +35,7 @@ def reachable(edges: DataFrame, start: DataFrame, upstream: bool = False) -> Dat
     edges: src, dst. A round for each level; the frontier alone meets the edges.
     """
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    e = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    e = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     frontier, seen, depth = start.select("node").distinct(), None, 0
     while True:
         depth += 1

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.scalars import file_parts
 from ..operators.assertions import Rule, run_suite
+from ..operators.shared import cut
 from ..operators.snapshots import apply_snapshot, first_snapshot
-from ..operators.writes import ParquetTable
+from ..operators.writes import ParquetTable, renamed
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_at_once: int | None = None) -> DataFrame:
@@ -54,14 +57,24 @@ def merge_into(table: ParquetTable, keys: list[str], order: str | None = None):
 
 
 def snapshot_into(table: ParquetTable, keys: list[str], updated_at: str):
-    """For run_available: history by the batch's latest change of each key; gone keys can't be told."""
+    """For run_available: history by the batch's latest change of each key; gone keys can't be told.
+
+    Only the current versions of the batch's keys are read, and only what changes is written: the versions that end and those
+    that begin, by their surrogate ids. Files without any of them stay as they are.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
         now = batch.agg(F.max(updated_at)).first()[0] or datetime(1970, 1, 1)
         if not table.exists():
             table.replace(first_snapshot(batch, keys, now))
             return
-        table.replace(apply_snapshot(table.read(), batch, keys, now, check=None, updated_at=updated_at, partial=True, order=updated_at))
+        old = table.read().filter("is_current")
+        came = renamed(batch.select(*keys).distinct())
+        current = cut(old.join(came, reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_in_")) for k in keys)), "left_semi"))
+        after = apply_snapshot(current, batch, keys, now, check=None, updated_at=updated_at, partial=True, order=updated_at)
+        same = current.select(F.col("scd_id").alias("same_"))
+        changed = after.join(same, (F.col("scd_id") == F.col("same_")) & F.col("is_current"), "left_anti")
+        table.write(changed, "merge", ["scd_id"], observed=False)
 
     return each
 
