@@ -75,7 +75,7 @@ def test_merkle_stores_few_levels(spark):
 
 def imatch_brute(rows):
     """rows: doc_id, text, all different. Gives the columns of fingerprints()."""
-    terms = lambda t: set(re.findall(imatch.TERM, t.translate(str.maketrans(imatch.UPPER, imatch.LOWER))))
+    terms = lambda t: set(re.split(imatch.APART, t.lower())) - {''}
     texts = [t or "" for _, t in rows]
     n = len(rows)
     found = {}

@@ -19,14 +19,13 @@ SUBSETS = sum(map(len, PREFIXES))
 BYTES = 2
 #: Terms up to which a list of them is broadcast (about 100 bytes each); beyond, that join is shuffled.
 BROADCAST = 300_000
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEY = ["absent_", "id_", "mark_"]
 
 
 def terms(text: Column) -> Column:
-    """Distinct terms: runs of letters and digits (all that isn't ASCII counts as a letter), A to Z in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)))
+    """Distinct terms: what stands between ASCII characters that are neither letters nor digits, in lower case."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), APART)), "")
 
 
 def path(term: Column) -> Column:
@@ -136,7 +135,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     quarter = F.floor(F.col("chars_") / 4).cast("int")
     before = ids.select(((F.col("place_") + 1) % F.col("count_")).alias("place_"), *(F.col(k).alias(f"to_{k}") for k in KEY), quarter.alias("take_"))
     rows = keyed.groupBy(*KEY).agg(F.first("text_").alias("text_"), F.count("*").alias("copies_")).join(ids.join(before, "place_"), KEY)
-    heads = rows.select(*(F.col(f"to_{k}").alias(k) for k in KEY), F.substring("text_", F.lit(1), F.col("take_")).alias("head_"))
+    # asks for all columns of the texts' shuffle, so that it is one for both sides of the join below
+    take = F.when(F.col("copies_") > 0, F.col("take_"))
+    heads = rows.select(*(F.col(f"to_{k}").alias(k) for k in KEY), F.substring("text_", F.lit(1), take).alias("head_"))
     rows = rows.drop("take_", *(f"to_{k}" for k in KEY)).join(heads, KEY)
     rows = rows.withColumn("edited_", F.concat(F.substring("text_", F.lit(1), F.col("chars_") - quarter), "head_"))
     rows = _with_words(rows.drop("head_").withColumn("sha_", F.unhex(F.sha2(F.col("edited_").cast("binary"), 256))), inside, common)
@@ -162,8 +163,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS docs FROM d),
 e AS (SELECT a.doc_id, a.place, a.n, a.docs, a.text, substr(a.text, 1, (a.n - a.n // 4)::BIGINT) || substr(b.text, 1, (a.n // 4)::BIGINT) AS edited
       FROM o a JOIN o b ON b.place = (a.place + 1) % a.docs),
-w AS (SELECT place, 1 AS side, unnest(list_distinct(regexp_extract_all(translate(text, '{upper}', '{lower}'), '{term}'))) AS term FROM e
-      UNION ALL SELECT place, 2, unnest(list_distinct(regexp_extract_all(translate(edited, '{upper}', '{lower}'), '{term}'))) FROM e),
+w AS (SELECT place, 1 AS side, unnest(list_filter(list_distinct(regexp_split_to_array(lower(text), '{apart}')), lambda x: x <> '')) AS term FROM e
+      UNION ALL SELECT place, 2, unnest(list_filter(list_distinct(regexp_split_to_array(lower(edited), '{apart}')), lambda x: x <> '')) FROM e),
 x AS (SELECT term, true AS known FROM w WHERE side = 1 GROUP BY term
       HAVING count(*) BETWEEN (SELECT ceil(count(*) / {rare})::BIGINT FROM d) AND (SELECT count(*) // {common} FROM d)),
 k AS (SELECT w.*, coalesce(known, false) AS known, max(coalesce(known, false)) OVER (PARTITION BY place, side) AS has_known FROM w LEFT JOIN x USING (term)),
@@ -189,4 +190,4 @@ JOIN h h1 ON h1.place = e.place AND h1.kind = 1 JOIN h h2 ON h2.place = e.place
 def oracle_sql() -> dict[str, str]:
     flat = [(depth, prefix) for depth, some in enumerate(PREFIXES) for prefix in some]
     prefixes = ", ".join(f"({k}, {depth}, '{prefix}')" for k, (depth, prefix) in enumerate(flat))
-    return {"op11_imatch_fingerprints": SQL.format(upper=UPPER, lower=LOWER, term=TERM, rare=RARE, common=COMMON, depths=DEPTHS, prefixes=prefixes, digits=2 * BYTES)}
+    return {"op11_imatch_fingerprints": SQL.format(apart=APART, rare=RARE, common=COMMON, depths=DEPTHS, prefixes=prefixes, digits=2 * BYTES)}
