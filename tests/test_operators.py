@@ -115,6 +115,11 @@ def test_profile_and_samples(spark):
     r = spark.range(100)
     assert values(profile.sample_random(r, 10, 3, "id")) == values(profile.sample_random(r.repartition(7), 10, 3, "id"))
     assert profile.sample_random(r, 1000, 3, "id").count() == 100
+    counts = {m: profile.sampled(r, m, 7, "id").count() for m in ("first", "random", "full")}
+    assert counts == {"first": 7, "random": 7, "full": 100}
+    for bad in (("some", "id"), ("random", None)):
+        with pytest.raises(ValueError):
+            profile.sampled(r, bad[0], key=bad[1])
 
 
 def test_band_join_is_exact(spark):

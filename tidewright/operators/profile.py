@@ -39,3 +39,14 @@ def sample_random(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """Exactly n rows (or all), the same for the same seed and keys, in the order of the key."""
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     return df.orderBy(mark, key).limit(n).orderBy(key)
+
+
+def sampled(df: DataFrame, mode: str, n: int = 100, key: str | None = None, seed: int = 0) -> DataFrame:
+    """The rows that a profile looks at: the first n by key, n at random (the same for the same seed and keys), or all (full)."""
+    if mode == "full":
+        return df
+    if mode == "first":
+        return sample_first(df, n, key)
+    if mode != "random" or key is None:
+        raise ValueError(f"no such sample: {mode}" if mode != "random" else "a random sample needs a key")
+    return sample_random(df, n, seed, key)

@@ -555,3 +555,9 @@ def pf_sketched_days(spark, sf_dir):
     for later in (False, True):
         sketches.refresh(table, e.filter((F.col("day") >= F.lit("2024-01-16").cast("date")) == F.lit(later)), "day", ["event_type"], distinct=["user_id"], numbers=["value"])
     return sketches.estimated(sketches.merged(table.read(), ["event_type"]), {"median": 0.5, "p90": 0.9})
+
+
+@query(_numbers_sql("part", ["p_partkey", "p_size", "p_retailprice"]) + " UNION ALL " + _strings_sql("part", ["p_name", "p_brand", "p_type"]))
+def pf_full(spark, sf_dir):
+    """A profile of all rows."""
+    return profile.profile(profile.sampled(Tables(spark, sf_dir).part, "full")).withColumn("mean", F.round("mean", 4))

@@ -129,13 +129,14 @@ def inferred_rows(rows: DataFrame, column: str, types: dict[str, str] | None = N
     return rows.select(F.from_json(column, schema).alias("r")).select("r.*") if kinds else rows.select()
 
 
-def write_buckets(df: DataFrame, table: str, columns: list[str], buckets: int) -> DataFrame:
-    """A table of the catalog, its rows dealt into buckets by a hash of the columns and sorted by them in each file; gives the table.
+def write_buckets(df: DataFrame, table: str, columns: list[str], buckets: int, path: str | None = None) -> DataFrame:
+    """A table of the catalog (its files at `path`, or in the warehouse), its rows dealt into buckets by a hash of the columns and sorted by them in each file; gives the table.
 
     Two tables with the same number of buckets join on these columns, and group by them, without an exchange. Rows are
     dealt before they are written, so a bucket is one file.
     """
-    df.repartition(buckets, *columns).write.mode("overwrite").bucketBy(buckets, *columns).sortBy(*columns).format("parquet").saveAsTable(table)
+    writer = df.repartition(buckets, *columns).write.mode("overwrite").bucketBy(buckets, *columns).sortBy(*columns).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
