@@ -174,3 +174,39 @@ def test_storage_options(spark, tmp_path):
     assert files.read_parquet(spark, "viewfs://elsewhere/data/in", storage=mount).count() == 5
     spark.range(3).selectExpr("id k").write.csv(str(tmp_path / "csv"), header=True)
     assert files.read_csv(spark, "viewfs://elsewhere/data/csv", storage=mount).count() == 3
+
+
+def test_another_driver(tmp_path):
+    """The same statements on a database with other types; its file takes one process, so tasks are called here."""
+    import json
+
+    import pyarrow as pa
+
+    pytest.importorskip("duckdb")
+    base = dbapi.Database("duckdb", str(tmp_path / "d.duckdb"))
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType()), T.StructField("day", T.DateType())])
+    day = date(2024, 1, 2)
+
+    def write(strategy, job, *rows):
+        w = dbapi.DatabaseWriter(base, {"table": "t", "strategy": strategy, "keys": "k", "job": job}, schema, False)
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.date32()))]
+        w.commit([w.write(iter([pa.RecordBatch.from_arrays(columns, names=schema.names)]))])
+
+    write("append", "j1", (1, "a", day), (2, "b", None))
+    write("merge", "j2", (2, "c", day), (3, "d", day))
+    write("delete_insert", "j3", (1, "z", day), (1, "y", day))
+    with base.cursor() as c:
+        assert c.execute('SELECT * FROM "t" ORDER BY k, v').fetchall() == [(1, "y", day), (1, "z", day), (2, "c", day), (3, "d", day)]
+        assert c.execute("SELECT * FROM write_receipts ORDER BY job").fetchall() == [("j1", "append", 2, 0, 0), ("j2", "merge", 1, 1, 0), ("j3", "delete_insert", 2, 0, 1)]
+        assert base.columns_of_query(c, "SELECT k, count(*) AS n FROM t GROUP BY k") == {"k": "integer", "n": "bigint"}
+    reader = dbapi.DatabaseReader(base, {"table": "t", "where": json.dumps([["day", "=", "2024-01-02"], ["v", "starts", "z"]]), "partition_column": "k", "partitions": "2"}, schema)
+    assert [b.to_pylist() for p in reader.partitions() for b in reader.read(p)] == [[{"k": 1, "v": "z", "day": day}]]
+
+
+def test_csv_is_added_to(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    files.write_csv(spark.createDataFrame([(1, "a;b")], "k int, v string"), path, ";")
+    files.write_csv(spark.createDataFrame([(2, None)], "k int, v string"), path, ";", mode="append")
+    assert values(files.read_csv(spark, path, ";")) == [(1, "a;b"), (2, None)]
+    with pytest.raises(ValueError):
+        files.write_csv(spark.range(1), path, mode="merge")
