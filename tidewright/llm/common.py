@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 #: Rows in one Arrow batch. Texts can be long, so a batch of Spark's default 10,000 rows may not fit in a worker.
 BATCH_ROWS = 1000
 #: Characters that a Python task handles together.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ BUCKETS = 1 << 15
 CHAIN = 64
 #: Bounds of what the model is fitted on: documents, characters of one, and distinct words in the lexicon.
 TRAIN_DOCS, TRAIN_CHARS, LEXICON = 1200, 20_000, 20_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 UNKNOWN = "und"
 find_words = re.compile(r"[^\W\d_]+").findall
 
@@ -169,7 +169,7 @@ def label_texts(texts: list[str], model: dict, known: dict) -> tuple[list[str],
     return lang, score, np.minimum(1.0, np.round(sure / np.maximum(n, 1e-9), 6)).tolist()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _known(key: str) -> dict:
     return {}
 
