@@ -203,6 +203,38 @@ def test_near_groups_match_brute_force(spark, monkeypatch, leaf, large):
     assert nearjoin.near_groups(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("leaf,large,rounds", [(800, 4096, 4), (5, 4096, 1), (5, 12, 2)])
+def test_leaders_lose_no_links(spark, monkeypatch, leaf, large, rounds):
+    """Crowded nodes: two groups of near-copies that share roots, a chain of edits, outsiders with half of the text, repeated rows."""
+    for name, value in (("LEAF", leaf), ("LARGE", large), ("CROWD", 4), ("ROUNDS", rounds), ("LEVELS", 3)):
+        monkeypatch.setattr(nearjoin, name, value)
+    rng = random.Random(17)
+    base, other = texts(2, 100, 41)
+    mixed = " ".join(base.split()[:70] + other.split()[70:])
+    rows = [other]
+    for t in (base, mixed):
+        for k in range(20):
+            w = t.split()
+            w[rng.randrange(len(w))] = f"own{k}"
+            rows.append(" ".join(w))
+    w = base.split()
+    for k in range(12):  # each text is like the one before, the last is unlike the first
+        w[(k * 8 + 3) % 100] = f"step{k}"
+        rows.append(" ".join(w))
+    rows += [" ".join(base.split()[:50] + x.split()[:50]) for x in texts(10, 60, 42)] + [rows[1], rows[1], None, ""]
+    links = []
+    real = nearjoin.led
+
+    def spy(*args):
+        out = real(*args)
+        links.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(nearjoin, "led", spy)
+    got = sorted(tuple(r) for r in nearjoin.near_groups(frame(spark, [(t, None) for t in rows])).collect())
+    assert got == near_brute(rows) and links[0] >= 15
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -22,6 +22,8 @@ SHINGLE, PERCENT = 5, 85
 HASHES, TREES = 64, 12
 #: Sets in a node that are compared in one task; sets beyond which a node branches; levels of branching below a root.
 LEAF, LARGE, LEVELS = 800, 4096, 24
+#: Sets from which a node is crowded, so that leaders join its near-copies first; rounds of leaders.
+CROWD, ROUNDS = 256, 4
 #: A pair goes to the exact comparison unless its minwise estimate is so far below the similarity (3.6 deviations).
 SLACK = 3.6 * (PERCENT / 100 * (1 - PERCENT / 100) / HASHES) ** 0.5
 #: Most representatives whose ids are broadcast to fetch their texts; beyond it the join is shuffled.
@@ -102,31 +104,96 @@ def branch(nodes: DataFrame, reps: DataFrame) -> DataFrame:
     return at.join(reps.select("key", "sig"), "key").select(F.xxhash64("path", "at", coordinate(F.col("sig"), F.col("at"))).alias("path"), "key")
 
 
-def leaves(reps: DataFrame) -> DataFrame:
-    """Nodes to compare exhaustively: path, key, tree, side, branched. Nodes of more than LARGE sets branch until they are smaller.
+def sized(nodes: DataFrame) -> DataFrame:
+    """The rows of nodes with two sets or more, and the number of sets."""
+    return cut(nodes.join(nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path"))
 
-    Leaves of more than LEAF sets, and those that are still large after LEVELS levels, are cut into blocks, and each pair
-    of blocks is a node of its own (side tells the blocks apart), so no pair of a leaf is left out. tree is the root that
-    a node is, or -1 below the roots; branched has a bit for each root of the set that is too large to be compared whole.
+
+def roots(reps: DataFrame) -> DataFrame:
+    tokens = F.posexplode(F.array(*(F.xxhash64(F.lit(k), coordinate(F.col("sig"), F.lit(k))) for k in range(TREES))))
+    return sized(reps.select(tokens.alias("tree", "path"), "key"))
+
+
+def with_group(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Adds the group of each set: itself, unless leaders have joined it with others."""
+    if groups is None:
+        return rows.withColumn("group", F.col("key"))
+    return rows.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
+
+
+def bulks(rows: DataFrame) -> DataFrame:
+    """The largest group of each node (path, group) and its number of sets."""
+    return rows.groupBy("path", "group").agg(F.count("*").alias("bulk")).groupBy("path").agg(F.max(F.struct("bulk", "group")).alias("most"))
+
+
+def led(crowded: DataFrame, reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links between sets of crowded nodes (path, key) and a leader of their node, and the groups (key, group) that they make.
+
+    In each round a node takes as its leader one set outside its largest group, and only the sets outside meet it, so
+    near-copies of one text cost one comparison each instead of one for each other. No pair is left out for it: what is
+    still in different groups is compared later.
+    """
+    links = groups = None
+    sig = reps.select("key", "n", "sig")
+    for turn in range(ROUNDS):
+        rows = with_group(crowded, groups)
+        if turn:
+            rows = rows.join(bulks(rows).select("path", F.col("most.group").alias("main")), "path").filter(F.col("group") != F.col("main"))
+        leader = rows.groupBy("path").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("hash"), "key", "group")).alias("led"))
+        pairs = rows.join(leader, "path").filter(F.col("group") != F.col("led.group")).select(F.col("led.key").alias("leader"), "key").distinct()
+        both = pairs.join(sig, "key").join(sig.select(F.col("key").alias("leader"), F.col("n").alias("n_"), F.col("sig").alias("sig_")), "leader")
+        same = F.aggregate(F.sequence(F.lit(0), F.lit(HASHES - 1)), F.lit(0), lambda t, k: t + (coordinate(F.col("sig"), k) == coordinate(F.col("sig_"), k)).cast("int"))
+        near = cut(both.filter((F.least("n", "n_") * 100 >= PERCENT * F.greatest("n", "n_")) & (same >= (PERCENT / 100 - SLACK) * HASHES)).select("leader", "key"))
+        if near.isEmpty():
+            break
+        blocks = near.groupBy("leader").agg(F.ceil(F.count("*") / LEAF).alias("blocks"))
+        near = near.join(blocks, "leader").withColumn("path", F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("blocks"))))
+        nodes = near.select("path", "key", F.lit(1).alias("side")).unionByName(near.select("path", F.col("leader").alias("key"), F.lit(0).alias("side")).distinct())
+        found = cut(confirmed(nodes.join(sets_of(nodes), "key")))
+        links = found if links is None else links.unionByName(found)
+        groups = cut(components(links, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("group")))
+    return links, groups
+
+
+def parted(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Adds to the rows of nodes: bulk, the sets of the largest group of leaders in the node, rest, those outside, and inside, whether the row is of that group."""
+    plain = lambda d: d.select("path", "key", "tree", "size", F.col("size").alias("rest"), F.lit(0).cast("long").alias("bulk"), F.lit(False).alias("inside"))
+    if groups is None:
+        return plain(rows)
+    crowd = with_group(rows.filter(F.col("size") > CROWD), groups)
+    crowd = crowd.join(bulks(crowd).filter("most.bulk > 1"), "path", "left")
+    bulk = F.coalesce("most.bulk", F.lit(0).cast("long"))
+    crowd = crowd.select("path", "key", "tree", "size", (F.col("size") - bulk).alias("rest"), bulk.alias("bulk"), F.coalesce(F.col("group") == F.col("most.group"), F.lit(False)).alias("inside"))
+    return plain(rows.filter(F.col("size") <= CROWD)).unionByName(cut(crowd.filter("rest > 0")))
+
+
+def leaves(reps: DataFrame, nodes: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Nodes to compare exhaustively: path, key, tree, side, branched. nodes are the roots, groups those of leaders.
+
+    Only pairs with an end outside the largest group of leaders in a node are to be compared. Nodes with more of them than
+    a node of LARGE sets has branch until they are smaller. Leaves of more than LEAF sets, and those that are still large
+    after LEVELS levels, are cut into blocks, and each pair of blocks is a node of its own (side tells the blocks apart),
+    so no such pair of a leaf is left out. tree is the root that a node is, or -1 below the roots; branched has a bit for
+    each root of the set that is too large to be compared whole.
     """
-    roots = F.posexplode(F.array(*(F.xxhash64(F.lit(k), coordinate(F.col("sig"), F.lit(k))) for k in range(TREES))))
-    nodes, found = reps.select(roots.alias("tree", "path"), "key"), None
+    nodes, found = roots(reps) if nodes is None else nodes, None
     for level in range(LEVELS + 1):
-        size = nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = cut(nodes.join(size, "path"))
-        least = LARGE if level < LEVELS else 1 << 62
-        blocks = F.ceil(F.col("size") / LEAF).cast("int")
-        some = sized.filter(F.col("size") <= least).withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        path = F.when(blocks == 1, F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
+        rows = parted(nodes, groups)
+        small = F.col("rest") * F.col("size") <= (LARGE * LARGE if level < LEVELS else 1 << 62)
+        outer, inner = F.ceil(F.col("rest") / LEAF).cast("int"), F.ceil(F.col("bulk") / LEAF).cast("int")
+        own = F.when(F.col("inside"), outer + F.pmod(F.xxhash64("key"), F.greatest(inner, F.lit(1)))).otherwise(F.pmod(F.xxhash64("key"), outer)).cast("int")
+        others = F.sequence(F.lit(0), F.when(F.col("inside"), outer).otherwise(outer + inner) - 1)
+        some = rows.filter(small).withColumn("own", own).withColumn("other", F.explode(others))
+        path = F.when(outer + inner == 1, F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
         side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
         some = some.select(path.alias("path"), "key", "tree", side.alias("side"), *([F.lit(0).alias("branched")] if level else []))
         found = some if found is None else found.unionByName(some)
-        large = sized.filter(F.col("size") > least)
+        large = rows.filter(~small).select("path", "key", "tree")
         if large.isEmpty():
             return found if level else found.withColumn("branched", F.lit(0))
         if not level:
             found = found.join(large.groupBy("key").agg(F.sum(F.expr("shiftleft(1, tree)")).cast("int").alias("branched")), "key", "left").select("path", "key", "tree", "side", F.coalesce("branched", F.lit(0)).alias("branched"))
-        nodes = branch(large, reps).withColumn("tree", F.lit(-1))
+        nodes = sized(branch(large, reps).withColumn("tree", F.lit(-1)))
 
 
 def by_node(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.Table]:
@@ -150,12 +217,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def with_partners(rows: DataFrame) -> DataFrame:
-    """Keeps the rows (path, key, tree, side, branched, n, sig) that may have a partner in their node by size and minwise estimate.
+    """Path, key and side of the rows (path, key, tree, side, branched, n, sig) that may have a partner in their node by size and minwise estimate.
 
     A pair that shares the token of an earlier root is compared there, unless that root branched, so here only the first
     root that it shares and that is compared whole counts.
     """
-    schema = T.StructType([T.StructField("path", T.LongType()), T.StructField("key", T.BinaryType())])
+    schema = T.StructType([T.StructField("path", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("side", T.IntegerType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +239,13 @@ def with_partners(rows: DataFrame) -> DataFrame:
                 near = at[(same.mean(1) >= PERCENT / 100 - SLACK) & ((tree[at] < 0) | ((same[:, :TREES] & whole[at]).argmax(1) == tree[at]))]
                 active[near] = active[near + step] = True
                 step += 1
-            yield pa.RecordBatch.from_arrays([pa.array(path[active]), t.column("key").combine_chunks().filter(pa.array(active)).cast(pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(path[active]), t.column("key").combine_chunks().filter(pa.array(active)).cast(pa.binary()), pa.array(side[active], pa.int32())], schema=out)
 
     return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, schema)
 
 
-def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a node on full sets, as a forest that joins what is connected."""
+def linked(sets: list[np.ndarray], first: int) -> list[tuple[int, int]]:
+    """Links of a node on full sets, as a forest that joins what is connected: of the `first` sets with the others, or of all pairs if that is 0."""
     n = np.array([len(s) for s in sets])
     value, column = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.r_[0, np.cumsum(n)]
@@ -191,12 +258,13 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for a in range(len(sets) - 1):
+    for a in range(first or len(sets) - 1):
         mine = column[start[a] : start[a + 1]]
         mark[mine] = 1
-        both = np.add.reduceat(mark[column[start[a + 1] :]], start[a + 1 : -1] - start[a + 1])
+        at = first or a + 1
+        both = np.add.reduceat(mark[column[start[at] :]], start[at:-1] - start[at])
         mark[mine] = 0
-        for b in (a + 1 + np.flatnonzero(100 * both >= PERCENT * (n[a] + n[a + 1 :] - both))).tolist():
+        for b in (at + np.flatnonzero(100 * both >= PERCENT * (n[a] + n[at:] - both))).tolist():
             if (p := find(a)) != (q := find(b)):
                 root[max(p, q)] = min(p, q)
                 out.append((a, b))
@@ -204,21 +272,23 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def confirmed(rows: DataFrame) -> DataFrame:
-    """Links a, b among the sets of each node (path, key, shingles)."""
+    """Links a, b among the sets of each node (path, key, side, shingles): between its two sides, if it has them."""
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_node(batches, 512):
-            path, keys = t.column("path").to_numpy(), t.column("key").to_pylist()
+            path, side, keys = t.column("path").to_numpy(), t.column("side").to_numpy(), t.column("key").to_pylist()
             found = set()
             start = np.flatnonzero(np.r_[True, path[1:] != path[:-1]]).tolist()
             for a, b in zip(start, [*start[1:], len(path)]):
                 sets = [np.frombuffer(x, "<u8") for x in t.column("shingles").slice(a, b - a).to_pylist()]
-                found.update((keys[a + i], keys[a + j]) for i, j in linked(sets))
+                first = int((side[a:b] == 0).sum())
+                if side[a] < 0 or 0 < first < b - a:
+                    found.update((keys[a + i], keys[a + j]) for i, j in linked(sets, first))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], schema=out)
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, schema)
+    return rows.select("path", "key", "side", "shingles").repartition("path").sortWithinPartitions("path", "side").mapInArrow(run, schema)
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,18 +300,26 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     with each other. A null id takes no part in the minimum; repeated rows give repeated results.
 
     The join finds a link with the probability that one of TREES random trees keeps both sets together; all that it
-    reports is checked on full sets. A task compares two blocks of LEAF sets at most, so none needs a large group.
+    reports is checked on full sets. In crowded nodes near-copies of one text are first joined by leaders, and pairs that
+    those have joined are not compared again. A task compares two blocks of LEAF sets at most, so none needs a large group.
     """
     found = cut(features(df, id_col, text_col, False))
     reps = cut(found.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")))
-    near = cut(with_partners(leaves(reps).join(reps.select("key", "n", "sig"), "key")))
-    need = reps.join(near.select("key").distinct(), "key", "left_semi").select(F.col("id").alias("need_")).distinct()
-    need = F.broadcast(need) if need.count() <= FETCH_ROWS else need
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id").eqNullSafe(F.col("need_")), "left_semi")
-    sets = features(texts, "id", "text", True).select("key", "shingles").dropDuplicates(["key"])
-    links = confirmed(near.join(sets, "key").select("path", "key", "shingles"))
-    roots = components(links, "a", "b")
-    classes = reps.select("key", "id").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        need = reps.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("id").alias("need_")).distinct()
+        need = F.broadcast(need) if need.count() <= FETCH_ROWS else need
+        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id").eqNullSafe(F.col("need_")), "left_semi")
+        return features(texts, "id", "text", True).select("key", "shingles").dropDuplicates(["key"])
+
+    nodes = roots(reps)
+    crowded = cut(nodes.filter(F.col("size") > CROWD).select("path", "key"))
+    star, groups = (None, None) if crowded.isEmpty() else led(crowded, reps, sets_of)
+    near = cut(with_partners(leaves(reps, nodes, groups).join(reps.select("key", "n", "sig"), "key")))
+    links = confirmed(near.join(sets_of(near), "key"))
+    links = links if star is None else links.unionByName(star)
+    joined = components(links, "a", "b")
+    classes = reps.select("key", "id").join(joined.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = classes.groupBy("root").agg(F.min("id").alias("component"))
     named = classes.join(least, "root").select("key", "component")
     out = found.select("id", "n", "key").join(named, "key", "left")
