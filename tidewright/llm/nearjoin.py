@@ -22,8 +22,8 @@ SHINGLE, PERCENT = 5, 85
 HASHES, TREES = 64, 12
 #: Sets in a node that are compared in one task; sets beyond which a node branches; levels of branching below a root.
 LEAF, LARGE, LEVELS = 800, 4096, 24
-#: Sets from which a node is crowded, so that leaders join its near-copies first; rounds of leaders.
-CROWD, ROUNDS = 256, 4
+#: Sets beyond which a node is crowded, so that leaders join its near-copies first (smaller ones are compared in one task anyway); rounds of leaders.
+CROWD, ROUNDS = LEAF, 2
 #: A pair goes to the exact comparison unless its minwise estimate is so far below the similarity (3.6 deviations).
 SLACK = 3.6 * (PERCENT / 100 * (1 - PERCENT / 100) / HASHES) ** 0.5
 #: Most representatives whose ids are broadcast to fetch their texts; beyond it the join is shuffled.
