@@ -421,6 +421,19 @@ def test_search_ties_copies_and_lone_queries(spark):
     assert sum(len(set(got[q]) & set(true(q))) for q in got) >= 0.95 * 5 * len(got)
 
 
+def test_search_measures_its_reach_in_the_table(spark):
+    rng = np.random.default_rng(5)
+    w, scale = rng.integers(40, size=8000), 10.0 ** rng.uniform(-4, 0, size=40)
+    x = (rng.normal(size=(40, 64))[w] + scale[w][:, None] * rng.normal(size=(8000, 64))).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(4)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    got = collections.defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    true = lambda q: [k for k in np.argsort(-(u @ u[q]))[:6].tolist() if k != q][:5]
+    assert sum(len(set(got[q]) & set(true(q))) for q in range(0, 8000, 50)) >= 0.955 * 5 * 160
+
+
 def test_compiled_rules_match_holds(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, len(quality.STATISTICS)))
