@@ -1,5 +1,6 @@
 """Tables that keep their schema and rewrite only touched files, as-of joins by merging, late rows, arrivals and layouts."""
 
+import math
 import os
 import random
 from datetime import datetime, timedelta
@@ -249,3 +250,24 @@ def test_snapshot_batches_touch_few_files(spark, tmp_path):
         after = files(str(tmp_path / "h"))
         assert sum(after.get(f) == at for f, at in before.items()) >= len(before) - 3
         assert values(table.read().select(*want.columns)) == values(want)
+
+
+def test_exact_where_estimates_differ(spark, tmp_path):
+    """More values than a sketch keeps apart."""
+    from tidewright.plans import catalog
+
+    spark.range(200_000).selectExpr("'A' l_returnflag", "id % 20011 l_suppkey", "cast(id * 7919 % 200003 as double) l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    prices = sorted(k * 7919 % 200003 for k in range(200_000))
+    assert values(catalog.queries()["ag_approximate"](spark, str(tmp_path))) == [("A", 20011, prices[99_999], prices[179_999])]
+    spark.range(200_000).selectExpr("cast(date_add(date '2024-01-01', cast(id % 30 as int)) as timestamp_ntz) ts", "if(id % 10 = 0, null, id % 60013) user_id", "'x' event_type", "if(id % 7 = 0, null, cast(id * 7919 % 200003 as double)) value").write.parquet(str(tmp_path / "events.parquet"))
+    known = sorted(k * 7919 % 200003 for k in range(200_000) if k % 7)
+    got = catalog.queries()["pf_sketched_days"](spark, str(tmp_path)).first().asDict()
+    users = len({k % 60013 for k in range(200_000) if k % 10})
+    at = lambda q: known[math.ceil(len(known) * q) - 1]
+    assert got == {"event_type": "x", "rows": 200_000, "user_id_nulls": 20_000, "user_id_distinct": users, "value_nulls": 200_000 - len(known), "value_low": known[0], "value_high": known[-1], "value_median": at(0.5), "value_p90": at(0.9)}
+
+
+def test_buckets_grow_with_the_rows(spark):
+    from tidewright.sources import files as layout
+
+    assert layout.buckets_for(spark.range(10)) == 8 and layout.buckets_for(spark.range(10), spark.range(20_500_000)) == 21

@@ -29,13 +29,13 @@ def rank_quintile(df: DataFrame, col: str, key: str) -> DataFrame:
     return ranked.withColumn("quintile", F.least(F.lit(5), F.greatest(F.lit(1), five)).cast("int")).drop("rank_", "count_")
 
 
-def percentiles(df: DataFrame, by: str, col: str, between: dict[str, float], at: dict[str, float]) -> DataFrame:
-    """Exact percentiles of a column for each group: `between` interpolates, `at` takes a value that stands there. Nulls don't count.
+def percentiles(df: DataFrame, by: str, col: str, between: dict[str, float], at: dict[str, float], weight: str | None = None) -> DataFrame:
+    """Exact percentiles of a column for each group: `between` interpolates, `at` takes a value that stands there. Nulls don't count. A row stands for `weight` rows.
 
     Equal values are counted first. Then values are range-partitioned; each partition counts its own rows of a group, the
     counts of those before are added, and only the values around the wanted places are kept.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(by, col).agg(F.count("*").alias("n_"))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(by, col).agg((F.sum(weight) if weight else F.count("*")).alias("n_"))
     parts = cut(counts.repartitionByRange(F.col(col)).withColumn("part_", F.spark_partition_id()))
     sizes = parts.groupBy(by, "part_").agg(F.sum("n_").alias("size_"))  # a row for each partition of a group
     group = W.partitionBy(by)
