@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
 from .writes import ParquetTable
 
 #: Distinct values: the logarithm of the registers. The relative error is about 1.04 / 2 ** (LG / 2); few values are counted exactly.
@@ -57,3 +58,24 @@ def refresh(table: ParquetTable, df: DataFrame, part: str, by: list[str] = (), *
     """
     new = sketched(df, [part, *by], **options)
     table.write(new, "delete_insert", [part])
+
+
+def counted(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """How often each value of a column stands in each group: exact where sketches estimate, and merged by adding."""
+    return df.groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
+def refresh_counts(table: ParquetTable, df: DataFrame, part: str, by: list[str], column: str) -> None:
+    """`refresh` for value counts."""
+    table.write(counted(df, [part, *by], column), "delete_insert", [part])
+
+
+def exact(counts: DataFrame, by: str, column: str, at: dict[str, float] | None = None) -> DataFrame:
+    """A profile of a column from its value counts: rows, <c>_nulls and <c>_distinct, or with percentiles `at` <c>_low, <c>_high and <c>_<name> in place of <c>_distinct."""
+    nulls = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias(f"{column}_nulls")
+    if at is None:
+        once = counts.groupBy(by, "value").agg(F.sum("n").alias("n"))
+        return once.groupBy(by).agg(F.sum("n").alias("rows"), nulls, F.count("value").alias(f"{column}_distinct"))
+    out = counts.groupBy(by).agg(F.sum("n").alias("rows"), nulls, F.min("value").alias(f"{column}_low"), F.max("value").alias(f"{column}_high"))
+    places = percentiles(counts, by, "value", {}, {f"{column}_{n}": q for n, q in at.items()}, "n").withColumnRenamed(by, "by_")
+    return out.join(places, F.col(by).eqNullSafe(F.col("by_")), "left").drop("by_")
