@@ -236,8 +236,9 @@ SELECT o_custkey, count(*) AS lines, sum(l_quantity::DECIMAL(18, 2))::DOUBLE AS
 def snk_bucketed_join(spark, sf_dir):
     """Orders and their lines in buckets of the order key, sorted: the join needs no exchange."""
     t, name = Tables(spark, sf_dir), f"b_{uuid.uuid4().hex}"
-    orders = files.write_buckets(t.orders, f"{name}_o", ["o_orderkey"], 8, _folder(spark))
-    lines = files.write_buckets(t.lineitem.select("l_orderkey", "l_quantity"), f"{name}_l", ["l_orderkey"], 8, _folder(spark))
+    n = files.buckets_for(t.orders, t.lineitem)
+    orders = files.write_buckets(t.orders, f"{name}_o", ["o_orderkey"], n, _folder(spark))
+    lines = files.write_buckets(t.lineitem.select("l_orderkey", "l_quantity"), f"{name}_l", ["l_orderkey"], n, _folder(spark))
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("lines"), money("l_quantity").alias("quantity"))
 
 

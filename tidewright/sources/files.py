@@ -129,6 +129,15 @@ def inferred_rows(rows: DataFrame, column: str, types: dict[str, str] | None = N
     return rows.select(F.from_json(column, schema).alias("r")).select("r.*") if kinds else rows.select()
 
 
+#: Rows in one bucket, and least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 8
+
+
+def buckets_for(*tables: DataFrame) -> int:
+    """A number of buckets that grows with the largest of some tables, so that a bucket, which one task sorts and joins, doesn't."""
+    return max(LEAST_BUCKETS, *(-(-t.count() // BUCKET_ROWS) for t in tables))
+
+
 def write_buckets(df: DataFrame, table: str, columns: list[str], buckets: int, path: str | None = None) -> DataFrame:
     """A table of the catalog (its files at `path`, or in the warehouse), its rows dealt into buckets by a hash of the columns and sorted by them in each file; gives the table.
 
