@@ -129,6 +129,21 @@ def test_band_join_is_exact(spark):
     assert values(band_join(a, b, [("x", "y", 1.5)]).select("id", "other")) == values(want)
 
 
+def test_band_join_deals_crowded_cells(spark, monkeypatch):
+    """Many pairs from a few kilobytes: they are more than one task's work, and counted without being made."""
+    from tidewright.operators import joins
+
+    monkeypatch.setattr(joins, "PAIRS", 1000)
+    a = spark.range(0, 600).selectExpr("id", "cast(id % 3 as int) as g", "id % 50 * 0.1 as x").unionByName(spark.createDataFrame([(900, 1, None), (901, 1, float("nan")), (902, 1, -0.0), (903, 2, 3.3)], "id long, g int, x double"))
+    b = spark.range(0, 300).selectExpr("id as other", "cast(id % 4 as int) as h", "id % 40 * 0.1 + 0.3 as y").unionByName(spark.createDataFrame([(900, 1, None), (901, 1, float("inf")), (902, 1, 0.0)], "other long, h int, y double"))
+    near = (F.abs(F.col("x") - F.col("y")) < 0.3) & (F.abs(F.col("g") - F.col("h")) < 2)
+    want = values(a.join(b, near).select("id", "other"))
+    got = band_join(a, b, [("x", "y", 0.3), ("g", "h", 2)])
+    assert got.rdd.getNumPartitions() > 20 and values(got.select("id", "other")) == want
+    counts = joins.band_counts(a, b, "g", ("g", "h", 2), ("x", "y", 0.3))
+    assert values(counts) == values(a.join(b, near).groupBy("g").agg(F.count("*")))
+
+
 def test_lineage_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("x", "y")], "src string, dst string")
     start = spark.createDataFrame([("a",)], "node string")

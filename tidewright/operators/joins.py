@@ -31,20 +31,91 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Pairs, how: str = "inn
     return left.join(right, reduce(and_, (left[x].eqNullSafe(right[y]) for x, y in on)), how)
 
 
+#: Pairs of rows of like cells that one task of a band join compares.
+PAIRS = 20_000_000
+
+
 def band_join(left: DataFrame, right: DataFrame, bands: list[tuple[str, str, float]]) -> DataFrame:
     """Pairs of rows that differ by less than a width in each of some dimensions: (left column, right column, width).
 
     Both sides get the grid cell of their values. The right side stands in its own cell and all around it, so an equi join
-    on the cell finds every pair; a final filter is exact. No cross product; a crowded cell is a skewed key, which adaptive
-    execution splits.
+    on the cell finds every pair; a final filter is exact. No cross product. The left rows of a crowded cell are dealt into
+    chunks that each meet all its right rows, and partitions are as many as the pairs need, as a few megabytes of rows can
+    make more pairs than adaptive execution, which goes by bytes, would give a task.
     """
     cell = lambda c, w: F.floor(F.col(c) / w)
+    real = lambda c: F.abs(F.col(c).cast("double")) < float("inf")  # noqa: E731  # nothing is near any other
+    left, right = left.filter(reduce(and_, (real(x) for x, _, _ in bands))), right.filter(reduce(and_, (real(y) for _, y, _ in bands)))
     a = left.withColumns({f"cell_{k}_": cell(x, w) for k, (x, _, w) in enumerate(bands)})
     around = [F.struct(*((cell(y, w) + d).alias(f"near_{k}_") for k, ((_, y, w), d) in enumerate(zip(bands, step)))) for step in product((-1, 0, 1), repeat=len(bands))]
     b = right.withColumn("near_", F.explode(F.array(*around))).select(*right.columns, "near_.*")
-    keys = [F.col(f"cell_{k}_") == F.col(f"near_{k}_") for k in range(len(bands))]
+    cells, nears = [f"cell_{k}_" for k in range(len(bands))], [f"near_{k}_" for k in range(len(bands))]
     exact = [F.abs(F.col(x) - F.col(y)) < w for x, y, w in bands]
-    return a.join(b, reduce(and_, keys + exact)).drop(*(f"{p}_{k}_" for p in ("cell", "near") for k in range(len(bands))))
+    same = [F.col(c) == F.col(n) for c, n in zip(cells, nears)]
+    sizes = a.groupBy(*cells).agg(F.count("*").alias("left_")).join(b.groupBy(*nears).agg(F.count("*").alias("right_")), reduce(and_, same))
+    sizes = cut(sizes.select(*(F.col(c).alias(f"size_{c}") for c in cells), (F.col("left_").cast("double") * F.col("right_")).alias("pairs_")))
+    parts = int((sizes.agg(F.sum("pairs_")).first()[0] or 0) // PAIRS) + 1
+    if parts == 1:
+        return a.join(b, reduce(and_, same + exact)).drop(*cells, *nears)
+    chunks = F.ceil(F.col("pairs_") / PAIRS).cast("long")
+    met = lambda df, names: df.join(sizes, reduce(and_, (F.col(n) == F.col(f"size_{c}") for n, c in zip(names, cells)))).withColumn("chunks_", chunks).drop("pairs_", *(f"size_{c}" for c in cells))
+    # written before they are dealt again, so that a task that runs twice deals the same rows
+    a = cut(met(a, cells).withColumn("chunk_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("chunks_"))).drop("chunks_"))
+    b = met(b, nears).withColumn("deal_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks_") - 1))).drop("chunks_")
+    a, b = a.repartition(parts, *cells, "chunk_"), b.repartition(parts, *nears, "deal_")
+    return a.join(b.hint("shuffle_hash"), reduce(and_, [*same, F.col("chunk_") == F.col("deal_"), *exact])).drop(*cells, *nears, "chunk_", "deal_")
+
+
+def _reach(value, width: float):
+    """For each value v the greatest double below v that isn't nearer than `width`, and the greatest that is: columns low, high. By bisection of the doubles, so the subtraction is rounded as in the comparison."""
+    import numpy as np
+    import pandas as pd
+
+    v = value.to_numpy(np.float64)
+    key = lambda x: np.where(x.view(np.int64) < 0, np.int64(-(2**63)) - x.view(np.int64), x.view(np.int64))  # noqa: E731  # in the order of the doubles
+    real = lambda k: np.where(k < 0, np.int64(-(2**63)) - k, k).view(np.float64)
+    most = np.full(len(v), np.finfo(np.float64).max)
+
+    def edge(inner, outer):
+        """The last of the doubles from inner to outer that is near, and the one beyond it."""
+        while True:
+            middle = inner // 2 + outer // 2 + (inner & outer & 1)
+            open_ = (middle != inner) & (middle != outer)
+            if not open_.any():
+                return inner, outer
+            near = np.abs(v - real(middle)) < width
+            inner, outer = np.where(open_ & near, middle, inner), np.where(open_ & ~near, middle, outer)
+
+    with np.errstate(over="ignore"):
+        return pd.DataFrame({"low": real(edge(key(v), key(-most))[1]), "high": real(edge(key(v), key(most))[0])})
+
+
+def band_counts(left: DataFrame, right: DataFrame, by: str, few: tuple[str, str, float], band: tuple[str, str, float]) -> DataFrame:
+    """How many pairs `band_join` has for each value of a left column: by, pairs (groups without any are left out). No pair is made.
+
+    `few` is a band over columns of few distinct values, such as keys of nations, whose pairs are joined; `band` is one over
+    any numbers. Each left row asks how many right rows stand up to either end of its band. Right rows and ends are
+    range-partitioned together; each partition adds up its own rows, and the sums of those before are added.
+    """
+    (d, e, near), (x, y, width) = few, band
+    if not width > 0:
+        return left.select(by, F.lit(0).cast("long").alias("pairs")).limit(0)
+    number = lambda c: F.col(c).cast("double")
+    real = lambda c: F.abs(number(c)) < float("inf")
+    a = left.filter(real(x)).groupBy(F.col(by).alias("by_"), F.col(d).alias("d_"), number(x).alias("v_")).agg(F.count("*").alias("n_"))
+    b = right.filter(real(y)).groupBy(F.col(e).alias("e_"), number(y).alias("at_")).agg(F.count("*").alias("n_"))
+    like = a.select("d_").distinct().join(b.select("e_").distinct(), F.abs(F.col("d_") - F.col("e_")) < near)
+    stands = b.join(F.broadcast(like), "e_").groupBy("d_", "at_").agg(F.sum("n_").alias("n_"))
+    ends = F.pandas_udf(lambda v: _reach(v, width), "low double, high double")
+    asks = a.withColumn("ends_", ends("v_")).select("by_", "d_", F.explode(F.array(F.struct(F.col("ends_.low").alias("at_"), (-F.col("n_")).alias("n_")), F.struct(F.col("ends_.high").alias("at_"), "n_"))).alias("end_"))
+    asks = asks.groupBy("by_", "d_", "end_.at_").agg(F.sum("end_.n_").alias("asked_"))
+    rows = stands.select("d_", "at_", F.lit(0).alias("kind_"), "n_").unionByName(asks.withColumn("kind_", F.lit(1)), allowMissingColumns=True)
+    rows = cut(rows.repartitionByRange("d_", "at_", "kind_").withColumn("part_", F.spark_partition_id()))
+    sums = rows.groupBy(F.col("d_").alias("group_"), F.col("part_").alias("in_")).agg(F.sum(F.coalesce("n_", F.lit(0))).alias("sum_"))  # a row for each partition of a group
+    before = sums.select("group_", "in_", F.coalesce(F.sum("sum_").over(W.partitionBy("group_").orderBy("in_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    upto = F.coalesce(F.sum("n_").over(W.partitionBy("d_", "part_").orderBy("at_", "kind_").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    counted = rows.withColumn("upto_", upto).filter("kind_ = 1").join(F.broadcast(before), (F.col("d_") == F.col("group_")) & (F.col("part_") == F.col("in_")))
+    return counted.groupBy(F.col("by_").alias(by)).agg(F.sum(F.col("asked_") * (F.col("upto_") + F.col("before_"))).alias("pairs")).filter("pairs > 0")
 
 
 def as_of_validity(facts: DataFrame, versions: DataFrame, on: Pairs, at: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
