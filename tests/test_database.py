@@ -210,3 +210,22 @@ def test_csv_is_added_to(spark, tmp_path):
     assert values(files.read_csv(spark, path, ";")) == [(1, "a;b"), (2, None)]
     with pytest.raises(ValueError):
         files.write_csv(spark.range(1), path, mode="merge")
+
+
+def test_large_merges_and_few_transactions(spark, place, monkeypatch):
+    """A merge finds its rows by key, and a task stages many rows at once."""
+    import time
+
+    begun = time.monotonic()
+    dbapi.write_database(spark.range(60_000).selectExpr("id k", "'a' v"), place, "t")
+    assert dbapi.write_database(spark.range(30_000, 90_000).selectExpr("id k", "'b' v"), place, "t", "merge", ["k"]) == {"strategy": "merge", "rows_inserted": 30_000, "rows_updated": 30_000, "rows_deleted": 0}
+    assert dbapi.write_database(spark.range(60_000).selectExpr("id k", "'c' v"), place, "t", "delete_insert", ["k"])["rows_deleted"] == 60_000
+    assert ask(place, "SELECT v, count(*) FROM t GROUP BY v ORDER BY v") == [("b", 30_000), ("c", 60_000)] and time.monotonic() - begun < 60
+    import pyarrow as pa
+
+    base, schema, n = dbapi.Database("sqlite3", place), T.StructType.fromDDL("k bigint"), []
+    writer = dbapi.DatabaseWriter(base, {"table": "u", "job": "j"}, schema, False)
+    real = base.transaction
+    monkeypatch.setattr(base, "transaction", lambda: (n.append(1), real())[1])
+    assert writer.write(iter([pa.RecordBatch.from_pydict({"k": pa.array(range(10_000))})] * 3)).rows == 30_000 and len(n) == 1
+    writer.abort([])

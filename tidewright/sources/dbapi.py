@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from datetime import date, datetime
 from decimal import Decimal
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,8 @@ WRITE_TYPES = {
 }
 RECEIPTS = "write_receipts"
 ROWS = 10_000
+#: Rows that a task stages in one transaction: long enough that tasks seldom wait for a lock or a disk, short enough for memory.
+STAGED_ROWS = 50_000
 
 
 def quoted(name: str) -> str:
@@ -98,6 +101,10 @@ class Database:
         finally:
             c.execute(f"DROP VIEW {probe}")
 
+    def taken(self, kind: T.DataType) -> bool:
+        """Whether the driver takes all values of a type as they are."""
+        return not self.local or not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType))
+
     def value(self, v):
         """A value as the driver takes it."""
         if self.local and isinstance(v, (date, datetime, Decimal)):
@@ -121,6 +128,16 @@ def _read_value(v, kind: T.DataType):
     return v if not isinstance(kind, T.StringType) or isinstance(v, str) else str(v)
 
 
+def _read_column(found: Sequence, kind: T.DataType, t: pa.DataType) -> pa.Array:
+    """The values of a column; numbers at once, unless the database holds something else among them."""
+    if isinstance(kind, (T.ShortType, T.IntegerType, T.LongType, T.DoubleType)):
+        try:
+            return pa.array(found, t)
+        except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError):
+            pass
+    return pa.array([_read_value(v, kind) for v in found], t)
+
+
 class Range(InputPartition):
     """low <= column < high; an open end takes all that is left, nulls go with the first range."""
 
@@ -239,7 +256,7 @@ class DatabaseReader(DataSourceReader):
         with self.database.cursor() as c:
             c.execute(self._statement(", ".join(self.as_sent[n] for n in self.schema.names), tests) + limit, [*self.values, *values])
             while rows := c.fetchmany(ROWS):
-                columns = [pa.array([_read_value(v, f.dataType) for v in found], t.type) for found, f, t in zip(zip(*rows), self.schema, target)]
+                columns = [_read_column(found, f.dataType, t.type) for found, f, t in zip(zip(*rows), self.schema, target)]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
 
@@ -275,13 +292,25 @@ class DatabaseWriter(DataSourceArrowWriter):
         task, n, marks = uuid.uuid4().hex, 0, ", ".join([self.database.mark] * (len(self.schema) + 1))
         with self.database.cursor() as c:
             c.execute(f"CREATE TABLE IF NOT EXISTS {quoted(self.stage)} ({', '.join(map(self._definition, self.schema))}, task_ TEXT)")
+        ready, plain = [], [self.database.taken(f.dataType) for f in self.schema]
+
+        def put() -> int:
+            rows = sum(map(len, ready))
+            if rows:
+                with self.database.transaction() as c:  # what it writes is at hand, so tasks don't wait for each other's input
+                    for some in ready:
+                        c.executemany(f"INSERT INTO {quoted(self.stage)} VALUES ({marks})", some)
+            ready.clear()
+            return rows
+
         for batch in iterator:
             for start in range(0, len(batch), self.batch):
-                rows = zip(*(c.to_pylist() for c in batch.slice(start, self.batch).columns))
-                rows = [(*map(self.database.value, r), task) for r in rows]
-                with self.database.transaction() as c:  # a short one, so tasks don't wait for each other's input
-                    c.executemany(f"INSERT INTO {quoted(self.stage)} VALUES ({marks})", rows)
-                n += len(rows)
+                columns = [c.to_pylist() for c in batch.slice(start, self.batch).columns]
+                columns = [c if fine else [*map(self.database.value, c)] for c, fine in zip(columns, plain)]
+                ready.append([*zip(*columns, repeat(task))])
+                if sum(map(len, ready)) >= STAGED_ROWS:
+                    n += put()
+        n += put()
         return Staged(task, n)
 
     def commit(self, messages: list[Staged]) -> None:
@@ -289,7 +318,6 @@ class DatabaseWriter(DataSourceArrowWriter):
         names = [quoted(n) for n in self.schema.names]
         same = " AND ".join(f"t.{quoted(k)} = s.{quoted(k)}" for k in self.keys)
         rows = f"(SELECT {', '.join(names)} FROM {stage} WHERE task_ IN (SELECT task FROM {done}))"
-        there = f"EXISTS (SELECT 1 FROM {table} t WHERE {same})"
         with self.database.transaction() as c:
             receipts = quoted(RECEIPTS)
             c.execute(f"CREATE TABLE IF NOT EXISTS {receipts} (job TEXT PRIMARY KEY, strategy TEXT, rows_inserted BIGINT, rows_updated BIGINT, rows_deleted BIGINT)")
@@ -302,15 +330,20 @@ class DatabaseWriter(DataSourceArrowWriter):
             c.executemany(f"INSERT INTO {done} VALUES ({self.database.mark})", [(m.task,) for m in messages if m])
             count = lambda sql: (c.execute(f"SELECT count(*) FROM {sql}"), c.fetchone()[0])[1]
             self._prepare(c, table)
-            total, updated, deleted = count(f"{rows} s"), 0, 0
+            total, updated, deleted = sum(m.rows for m in messages if m), 0, 0
             if self.strategy == "truncate_insert":
                 deleted = count(table)
                 c.execute(f"DELETE FROM {table}")
-            elif self.strategy == "delete_insert":
+            elif self.strategy in ("merge", "delete_insert"):
+                rows = self._keyed(c, "_rows", f"SELECT * FROM {rows} s")
+            if self.strategy == "delete_insert":
                 gone = f"{table} AS t WHERE EXISTS (SELECT 1 FROM {rows} s WHERE {same})"
                 deleted = count(gone)
                 c.execute(f"DELETE FROM {gone}")
             elif self.strategy == "merge":
+                keys = ", ".join(f"s.{quoted(k)}" for k in self.keys)
+                hits = self._keyed(c, "_hits", f"SELECT DISTINCT {keys} FROM {table} t JOIN {rows} s ON {same}")
+                there = f"EXISTS (SELECT 1 FROM {hits} t WHERE {same})"
                 matched, rest = count(f"{rows} s WHERE {there}"), [n for n in self.schema.names if n not in self.keys]
                 c.execute(f"CREATE TABLE {quoted(self.stage + '_new')} AS SELECT * FROM {rows} s WHERE NOT {there}")
                 if rest:
@@ -319,9 +352,17 @@ class DatabaseWriter(DataSourceArrowWriter):
                 rows, total = quoted(self.stage + "_new"), total - matched
             c.execute(f"INSERT INTO {table} ({', '.join(names)}) SELECT {', '.join(names)} FROM {rows} s")
             c.execute(f"INSERT INTO {receipts} VALUES ({', '.join([self.database.mark] * 5)})", (self.job, self.strategy, total, updated, deleted))
-            for extra in ("", "_done", "_new"):
+            for extra in ("", "_done", "_rows", "_hits", "_new"):
                 c.execute(f"DROP TABLE IF EXISTS {quoted(self.stage + extra)}")
 
+    def _keyed(self, c, extra: str, sql: str) -> str:
+        """A table of the job, found by key: with an index where the database joins by nothing else. Without one it reads the whole table for each row."""
+        name = quoted(self.stage + extra)
+        c.execute(f"CREATE TABLE {name} AS {sql}")
+        if self.database.local:
+            c.execute(f"CREATE INDEX {quoted(self.stage + extra + '_index')} ON {name} ({', '.join(map(quoted, self.keys))})")
+        return name
+
     def _prepare(self, c, table: str) -> None:
         """Makes the table if it isn't there; adds columns if that is allowed."""
         known = self.database.columns(c, self.table)
