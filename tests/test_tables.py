@@ -271,3 +271,23 @@ def test_buckets_grow_with_the_rows(spark):
     from tidewright.sources import files as layout
 
     assert layout.buckets_for(spark.range(10)) == 8 and layout.buckets_for(spark.range(10), spark.range(20_500_000)) == 21
+
+
+def test_late_rows_of_many_keys_in_one_call():
+    """A group of keys is one call with one state."""
+    import pandas as pd
+
+    class State:
+        value = None
+        exists, get = lambda self: self.value is not None, lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    class Clock:
+        getCurrentWatermarkInMs = staticmethod(lambda: 86_400_000)
+
+    state, rows = jobs.LateRows("ts"), State()
+    state.init(type("Handle", (), {"getValueState": lambda self, *_: rows})())
+    made = pd.DataFrame({"ts": pd.to_datetime([k % 3 for k in range(9000)], unit="D"), "key_": [str(k // 2) for k in range(9000)], "group_": 0})
+    out = pd.concat(list(state.handleInputRows((0,), iter([made[:4000], made[4000:]]), Clock())))
+    assert out["late_"].sum() == 3000 and (~out["late_"]).sum() == made[made["ts"] >= "1970-01-02"]["key_"].nunique()
+    assert pd.concat(list(state.handleInputRows((0,), iter([made]), Clock())))["late_"].all()

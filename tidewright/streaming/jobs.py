@@ -102,10 +102,14 @@ def check_into(rules: list[Rule], results: ParquetTable, quarantine: ParquetTabl
     return each
 
 
+#: Groups of keys that share a state. A call of a group costs some milliseconds, so a key can't have one of its own.
+KEY_GROUPS = 1024
+
+
 class LateRows(StatefulProcessor):
     """Tells rows that come behind the watermark from those in time, and drops repeats of a key.
 
-    The key's state is the time of its first row. A timer clears it when the watermark has passed that time: later
+    The state of a group of keys (column key_) holds the time of each key's first row, until the watermark has passed it: later
     repeats are late anyway. A late row goes on with late_ = true whether its key is known or not, so none is lost.
     """
 
@@ -113,27 +117,22 @@ class LateRows(StatefulProcessor):
         self.column = column
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.seen = handle, handle.getValueState("seen", "at timestamp")
+        self.seen = handle.getValueState("seen", "keys binary")
 
     def handleInputRows(self, key, rows, timerValues):
+        import pickle
+
         import pandas as pd
 
-        behind, known = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"), self.seen.exists()
+        behind = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        known = pickle.loads(bytes(self.seen.get()[0])) if self.seen.exists() else {}
+        known = {k: at for k, at in known.items() if at >= behind.value}
         for batch in rows:
-            late = (batch[self.column].isna() | (batch[self.column] < behind)).to_numpy()
-            keep = late.copy()
-            in_time = [k for k in range(len(batch)) if not late[k]]
-            if in_time and not known:
-                first = min(in_time, key=lambda k: batch[self.column].iloc[k])
-                at = batch[self.column].iloc[first]
-                self.seen.update((at.to_pydatetime(),))
-                self.handle.registerTimer(int(at.timestamp() * 1000) + 1)
-                known = keep[first] = True
-            yield batch.assign(late_=late)[keep]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.seen.clear()
-        return iter(())
+            late = batch[self.column].isna() | (batch[self.column] < behind)
+            new = batch[~late & ~batch["key_"].isin(known)].sort_values(self.column, kind="stable").drop_duplicates("key_")
+            known.update(zip(new["key_"], new[self.column].astype("datetime64[ns]").astype("int64")))
+            yield batch.assign(late_=late)[late | batch.index.isin(new.index)].drop(columns=["key_", "group_"])
+        self.seen.update((pickle.dumps(known),))
 
     def close(self) -> None:
         pass
@@ -144,13 +143,16 @@ def with_lateness(stream: DataFrame, column: str, late: str, *keys: str) -> Data
 
     Spark drops rows behind a watermark before it works on them. Here the watermark stands on a copy of the column that goes
     no further, so late rows reach the state too (transformWithState), and can be put aside. Rows in time are kept once
-    for each value of `keys`. A row without time is late. Needs the RocksDB state store (`with_rocksdb`).
+    for each value of `keys`, whose states lie together in KEY_GROUPS groups. A row without time is late. Needs the RocksDB
+    state store (`with_rocksdb`).
     """
     kind = stream.schema[column].dataType
     named = stream.withColumn(column, F.col(column).cast("timestamp"))
     marked = named.withColumn("watermark_", F.coalesce(column, F.timestamp_seconds(F.lit(0)))).withWatermark("watermark_", late).drop("watermark_")
     schema = T.StructType([*marked.schema, T.StructField("late_", T.BooleanType())])
-    out = marked.groupBy(*keys).transformWithStateInPandas(LateRows(column), schema, "append", "eventTime")
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    marked = marked.withColumn("key_", F.to_json(F.struct(*keys), exact)).withColumn("group_", F.pmod(F.xxhash64("key_"), F.lit(KEY_GROUPS)))
+    out = marked.groupBy("group_").transformWithStateInPandas(LateRows(column), schema, "append", "eventTime")
     return out.withColumn(column, F.col(column).cast(kind))
 
 
