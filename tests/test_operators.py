@@ -144,6 +144,12 @@ def test_band_join_deals_crowded_cells(spark, monkeypatch):
     assert values(counts) == values(a.join(b, near).groupBy("g").agg(F.count("*")))
 
 
+def test_levels_carry_no_ends_through_rounds(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "z"), ("a", "y"), ("c", "d"), ("d", "c"), ("d", "x"), ("a", "x"), ("w", "v")], "src string, dst string")
+    assert values(lineage.levels(e).na.fill(-1)) == [("a", 0), ("b", 1), ("c", -1), ("d", -1), ("v", 1), ("w", 0), ("x", -1), ("y", 1), ("z", 2)]
+    assert sorted(map(tuple, lineage._core(e)[0].collect())) == [("a", "b"), ("c", "d"), ("d", "c")]
+
+
 def test_lineage_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("x", "y")], "src string, dst string")
     start = spark.createDataFrame([("a",)], "node string")

@@ -51,22 +51,34 @@ def reachable(edges: DataFrame, start: DataFrame, upstream: bool = False) -> Dat
         frontier = new.select("node")
 
 
+def _core(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges that lead to a node with edges of its own, and those that lead to an end. Ends are mostly the greater part, and needn't be carried through rounds."""
+    e = cut(edges.select("src", "dst").distinct())
+    onward = e.select(F.col("src").alias("dst")).distinct().withColumn("onward_", F.lit(True))
+    marked = cut(e.join(onward, "dst", "left"))
+    return marked.filter("onward_").select("src", "dst"), marked.filter("onward_ is null").select("src", "dst")
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """Topological level of each node (0 without an edge into it): node, level. Nodes on a cycle, and below one, have none (null)."""
-    e = cut(edges.select("src", "dst").distinct())
-    left = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    e, ends = _core(edges)
+    left = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).union(ends.select("src")).distinct())
     out, level = None, 0
     while True:
         into = e.select(F.col("dst").alias("node")).distinct()
         free = cut(left.join(into, "node", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             rest = left.withColumn("level", F.lit(None).cast("int"))
-            return rest if out is None else out.unionByName(rest)
+            inner = rest if out is None else out.unionByName(rest)
+            break
         out = free if out is None else out.unionByName(free)
         names = free.select("node")
         left = cut(left.join(names, "node", "left_anti"))
         e = cut(e.join(names.select(F.col("node").alias("src")), "src", "left_anti"))
         level += 1
+    above = ends.join(inner.withColumnRenamed("node", "src"), "src")
+    last = above.groupBy(F.col("dst").alias("node")).agg(F.when(F.count("level") == F.count("*"), F.max("level") + 1).alias("level"))
+    return inner.unionByName(last)
 
 
 def in_cycles(edges: DataFrame) -> DataFrame:
