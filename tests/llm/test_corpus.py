@@ -304,6 +304,25 @@ def test_crowded_line_keys(spark, monkeypatch):
     assert sum(bool(x) for x in got.values()) <= 16 and all(any(got[k + j] for j in range(3)) for k in range(0, len(rows), 3))
 
 
+@pytest.mark.parametrize("pairs", [10, 60])
+def test_all_lines_of_a_key_meet(spark, monkeypatch, pairs):
+    """Lines with all keys in common, which only short words tell apart: rows up to CROWD lines, blocks beyond it; long and odd ones among them."""
+    monkeypatch.setattr(lines, "BLOCK_LINES", 50, raising=False)
+    rng, common, rows = random.Random(15), " ".join(f"{w}word" for w in WORDS[:16]), []
+    for k in range(pairs):
+        own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(14 + 60 * (k == 3))]
+        rows += [f"{common} {' '.join(own)}", f"{common} {' '.join(own[:7] + ['zé'] + own[8:])}"]
+    keys = {tuple(sorted(r["keys"])) for r in lines.keyed_lines(frame(spark, [(x, None) for x in rows]), "doc_id", "text").collect()}
+    assert len(keys) == 1
+    root = list(range(len(rows)))
+    far = duckdb.connect().execute("SELECT x.i, y.i FROM (SELECT unnest(?) t, unnest(range(?)) i) x, (SELECT unnest(?) t, unnest(range(?)) i) y WHERE x.i < y.i AND 10 * levenshtein(x.t, y.t) <= greatest(length(x.t), length(y.t))", [rows, len(rows)] * 2).fetchall()
+    for i, j in sorted(far):
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, [(x, None) for x in rows])).collect()}
+    assert len(far) >= pairs and {k for k in got if got[k]} == set(root)
+
+
 def test_links_past_large_roots(spark, monkeypatch):
     """Pairs that all share half of their text with very many others, so most roots branch."""
     monkeypatch.setattr(nearjoin, "LARGE", 40)
