@@ -235,6 +235,16 @@ def test_leaders_lose_no_links(spark, monkeypatch, leaf, large, rounds):
     assert got == near_brute(rows) and links[0] >= 15
 
 
+def test_small_tables_take_few_tasks(spark):
+    """Nodes of a few sets are not dealt over all partitions of the session: each task leaves files and events on disk."""
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "50")
+    wide.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = nearjoin.features(frame(wide, [(texts(1, 40, 5)[0] + end, None) for end in ("", " a", " b")]), "doc_id", "text", False)
+    nodes = nearjoin.roots(rows.select("key", "sig"))
+    assert nodes.count() > 3 and nodes.rdd.getNumPartitions() == 1
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, cut, table
+from .common import arrow_schema, cut, fitted, table
 from .graph import components
 
 #: Words of a shingle, and the similarity from which documents are linked (a fraction of 100).
@@ -106,7 +106,7 @@ def branch(nodes: DataFrame, reps: DataFrame) -> DataFrame:
 
 def sized(nodes: DataFrame) -> DataFrame:
     """The rows of nodes with two sets or more, and the number of sets."""
-    return cut(nodes.join(nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path"))
+    return fitted(nodes.join(nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path"))
 
 
 def roots(reps: DataFrame) -> DataFrame:
@@ -143,15 +143,15 @@ def led(crowded: DataFrame, reps: DataFrame, sets_of: Callable[[DataFrame], Data
         pairs = rows.join(leader, "path").filter(F.col("group") != F.col("led.group")).select(F.col("led.key").alias("leader"), "key").distinct()
         both = pairs.join(sig, "key").join(sig.select(F.col("key").alias("leader"), F.col("n").alias("n_"), F.col("sig").alias("sig_")), "leader")
         same = F.aggregate(F.sequence(F.lit(0), F.lit(HASHES - 1)), F.lit(0), lambda t, k: t + (coordinate(F.col("sig"), k) == coordinate(F.col("sig_"), k)).cast("int"))
-        near = cut(both.filter((F.least("n", "n_") * 100 >= PERCENT * F.greatest("n", "n_")) & (same >= (PERCENT / 100 - SLACK) * HASHES)).select("leader", "key"))
+        near = fitted(both.filter((F.least("n", "n_") * 100 >= PERCENT * F.greatest("n", "n_")) & (same >= (PERCENT / 100 - SLACK) * HASHES)).select("leader", "key"))
         if near.isEmpty():
             break
         blocks = near.groupBy("leader").agg(F.ceil(F.count("*") / LEAF).alias("blocks"))
         near = near.join(blocks, "leader").withColumn("path", F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("blocks"))))
-        nodes = near.select("path", "key", F.lit(1).alias("side")).unionByName(near.select("path", F.col("leader").alias("key"), F.lit(0).alias("side")).distinct())
-        found = cut(confirmed(nodes.join(sets_of(nodes), "key")))
+        nodes = fitted(near.select("path", "key", F.lit(1).alias("side")).unionByName(near.select("path", F.col("leader").alias("key"), F.lit(0).alias("side")).distinct()))
+        found = fitted(confirmed(nodes.join(sets_of(nodes), "key")))
         links = found if links is None else links.unionByName(found)
-        groups = cut(components(links, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("group")))
+        groups = fitted(components(links, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("group")))
     return links, groups
 
 
@@ -164,7 +164,7 @@ def parted(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
     crowd = crowd.join(bulks(crowd).filter("most.bulk > 1"), "path", "left")
     bulk = F.coalesce("most.bulk", F.lit(0).cast("long"))
     crowd = crowd.select("path", "key", "tree", "size", (F.col("size") - bulk).alias("rest"), bulk.alias("bulk"), F.coalesce(F.col("group") == F.col("most.group"), F.lit(False)).alias("inside"))
-    return plain(rows.filter(F.col("size") <= CROWD)).unionByName(cut(crowd.filter("rest > 0")))
+    return plain(rows.filter(F.col("size") <= CROWD)).unionByName(fitted(crowd.filter("rest > 0")))
 
 
 def leaves(reps: DataFrame, nodes: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
@@ -304,18 +304,18 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     those have joined are not compared again. A task compares two blocks of LEAF sets at most, so none needs a large group.
     """
     found = cut(features(df, id_col, text_col, False))
-    reps = cut(found.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")))
+    reps = fitted(found.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")))
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        need = reps.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("id").alias("need_")).distinct()
+        need = fitted(reps.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("id").alias("need_")).distinct())
         need = F.broadcast(need) if need.count() <= FETCH_ROWS else need
         texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id").eqNullSafe(F.col("need_")), "left_semi")
         return features(texts, "id", "text", True).select("key", "shingles").dropDuplicates(["key"])
 
     nodes = roots(reps)
-    crowded = cut(nodes.filter(F.col("size") > CROWD).select("path", "key"))
+    crowded = fitted(nodes.filter(F.col("size") > CROWD).select("path", "key"))
     star, groups = (None, None) if crowded.isEmpty() else led(crowded, reps, sets_of)
-    near = cut(with_partners(leaves(reps, nodes, groups).join(reps.select("key", "n", "sig"), "key")))
+    near = fitted(with_partners(leaves(reps, nodes, groups).join(reps.select("key", "n", "sig"), "key")))
     links = confirmed(near.join(sets_of(near), "key"))
     links = links if star is None else links.unionByName(star)
     joined = components(links, "a", "b")
