@@ -375,6 +375,24 @@ def test_pairs_meet_past_a_branched_root(spark, monkeypatch):
     assert {bytes(r["key"]) for r in got} == pairs
 
 
+def test_counts_of_characters_bound_edits(spark):
+    rng, t = random.Random(6), ["", "e" * 300, "te" * 200, "漢字 é e", "e e"]
+    t += ["".join(rng.choice("etaoxyz é") for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    rows = spark.createDataFrame([(x, len(x)) for x in t], "norm string, size int").withColumns(lines.bags(F.col("norm"), F.col("size")))
+    end = lambda c: rows.select(*(F.col(x).alias(f"{x}_{c}") for x in rows.columns))
+    got = end("x").crossJoin(end("y")).select("norm_x", "norm_y", lines.least_edits("x", "y").alias("least"), F.levenshtein("norm_x", "norm_y").alias("far")).collect()
+    assert all(r["least"] <= r["far"] for r in got) and sum(r["least"] > 0.5 * r["far"] for r in got) > len(got) / 4
+
+
+def test_line_keys_take_few_tasks(spark):
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "50")
+    wide.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = frame(wide, [(f"{texts(1, 12, 5)[0]} {end}", None) for end in "ab"])
+    members = lines.key_members(df, lines.keyed_lines(df, "doc_id", "text"), "doc_id", "text")
+    assert members.count() > 3 and members.rdd.getNumPartitions() == 1
+
+
 def test_line_keys_match_brute_force(spark):
     t = texts(60, 5, seed=8) + texts(60, 12, seed=9) + texts(20, 40, seed=10) + ["a b", "one", "漢字仮名交" * 9]
     t += [" ".join(x.split()[:-1] + ["end"]) for x in t[:140]]
