@@ -375,6 +375,19 @@ def test_pairs_meet_past_a_branched_root(spark, monkeypatch):
     assert {bytes(r["key"]) for r in got} == pairs
 
 
+def test_pipeline_lines_of_a_crowded_key_meet(spark, monkeypatch):
+    """40 lines with all keys in common make 20 groups of two, none of which is near the least line of the key."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(lines, "CROWD", 8)
+    rng, common, rows = random.Random(16), " ".join(f"{w}word" for w in WORDS[:16]), []
+    for _ in range(20):
+        own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(14)]
+        rows += [f"{common} {' '.join(own)}", f"{common} {' '.join(own[:7] + ['zé'] + own[8:])}"]
+    out = corpus_pipeline.dedup_lines(spark, frame(spark, [(x, None) for x in rows]), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(0, 40, 2))
+
+
 def test_counts_of_characters_bound_edits(spark):
     rng, t = random.Random(6), ["", "e" * 300, "te" * 200, "漢字 é e", "e e"]
     t += ["".join(rng.choice("etaoxyz é") for _ in range(rng.randrange(1, 30))) for _ in range(40)]
