@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 import wave
 import zlib
 
@@ -17,7 +18,7 @@ import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, bpe, graph, langid, lines, media, mixing, nearjoin, quality, substrings, tokens
+from tidewright.llm import ann, bpe, common, graph, langid, lines, media, mixing, nearjoin, quality, substrings, tokens
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "the the the", "line\nline\n\nline", "é漢字😀 \t x", "a" * 5000, "<|endoftext|> <s>", "\x00\x1c\x85"]
@@ -65,6 +66,25 @@ def test_bpe_round_trip(spark):
         assert got[k]["decoded"] == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_workers_keep_little():
+    """A worker lives through the stages of the pipeline: its words are few, those that recur stay, and those of the stage before go."""
+    t, rng = bpe.load_merges(path("byte_bpe_50k.json")), random.Random(2)
+    known, often = common.kept("bpe"), " often here"
+    want = bpe.encode_texts([often], t, {})
+    tracemalloc.start()
+    for _ in range(8):
+        words = [" " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(50_000)]
+        words = ["".join(words[a : a + 500]) + often for a in range(0, len(words), 500)]
+        got = bpe.encode_texts(words, t, known)
+        assert all(x.endswith(want[0]) for x in got) and " often" in known
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(known) <= 100_000 and peak < 40e6
+    assert bpe.encode_texts(words, t, {}) == got
+    nearjoin.shingle_set("a b c d e f")
+    assert not common.kept("bpe") and not known.keys() & common.kept("shingles").keys()
+
+
 def test_media_round_trip(spark):
     rows = media.media_columns(frame(spark, [(t, None) for t in ODD + ["same", "same"]])).collect()
     assert len(rows) == len(ODD) + 2

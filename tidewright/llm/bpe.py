@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import json
-from functools import cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import kept, map_texts, table
 
 NONE = np.int64(1) << 62
 POS = 32
-#: Distinct words whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-KEPT_WORDS = 300_000
+#: Distinct words whose ids a worker keeps; beyond it only those that stand in the texts at hand stay.
+KEPT_WORDS = 100_000
 #: Leaves of all the trees that are worked on together; bytes from which a word's tree is worked on alone.
-LEAVES, ALONE = 1 << 20, 256
+LEAVES, ALONE = 1 << 16, 256
 # The published byte-level split pattern, white space as Unicode has it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -197,11 +196,6 @@ def _ranks_of(name: str, t: dict) -> dict[int, int]:
     return _known_ranks[name]
 
 
-@cache
-def _words() -> dict[str, bytes]:
-    return {}
-
-
 def encode_texts(texts: list[str], t: dict, known: dict[str, bytes]) -> list[bytes]:
     """Ids of each text as 32-bit little-endian integers."""
     special = regex.compile("(" + "|".join(map(regex.escape, sorted(t["added"], key=len, reverse=True))) + ")") if t["added"] else None
@@ -213,11 +207,12 @@ def encode_texts(texts: list[str], t: dict, known: dict[str, bytes]) -> list[byt
             parts.append([w for k, p in enumerate(special.split(x)) for w in ([p] if k % 2 else split(p))])
         else:
             parts.append(split(x))
-    new = list(set().union(*parts) - known.keys())
+    seen = set().union(*parts)
+    new = list(seen - known.keys())
     if len(known) + len(new) > KEPT_WORDS:
+        again = {w: known[w] for w in seen & known.keys()}
         known.clear()
-        known.update((s, np.array([i], "<u4").tobytes()) for s, i in t["added"].items())
-        new = list(set().union(*parts) - known.keys())
+        known.update(again)
     known.update(zip(new, encode_words(new, t)))
     return [b"".join(map(known.__getitem__, p)) for p in parts]
 
@@ -237,7 +232,7 @@ def encode_decode(df: DataFrame, json_path: str, id_col: str = "doc_id", text_co
     t = df.sparkSession.sparkContext.broadcast(load_merges(json_path))
 
     def run(texts: list[str]) -> list[list]:
-        ids = encode_texts(texts, t.value, _words())
+        ids = encode_texts(texts, t.value, kept(json_path))
         return [[len(x) // 4 for x in ids], ids, [decode_ids(x, t.value["strings"]) for x in ids]]
 
     return map_texts(df, id_col, text_col, "n_tokens long, ids binary, decoded string", run)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, table
+from .common import groups, kept, table
 
 BUCKETS = 1 << 15
 CHAIN = 64
@@ -169,11 +168,6 @@ def label_texts(texts: list[str], model: dict, known: dict) -> tuple[list[str],
     return lang, score, np.minimum(1.0, np.round(sure / np.maximum(n, 1e-9), 6)).tolist()
 
 
-@lru_cache(maxsize=1)
-def _known(key: str) -> dict:
-    return {}
-
-
 def held_out(id_col: str) -> Column:
     """Whether crc32 of the id as text, mod 5, is 0; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -206,7 +200,7 @@ def language(df: DataFrame, model: dict | None, text_col: str = "text") -> Colum
         lang, score, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if shared.value is not None:
             for a, b in groups(texts):
-                lang[a:b], score[a:b], sure[a:b] = label_texts(texts[a:b], shared.value, _known(key))
+                lang[a:b], score[a:b], sure[a:b] = label_texts(texts[a:b], shared.value, kept(key))
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], ["lang_pred", "score", "sure"])
 
     return F.arrow_udf(run, "lang_pred string, score double, sure double")(F.col(text_col))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, cut, fitted, table
+from .common import arrow_schema, cut, fitted, kept, table
 from .graph import components
 
 #: Words of a shingle, and the similarity from which documents are linked (a fraction of 100).
@@ -28,6 +28,8 @@ CROWD, ROUNDS = LEAF, 2
 SLACK = 3.6 * (PERCENT / 100 * (1 - PERCENT / 100) / HASHES) ** 0.5
 #: Most representatives whose ids are broadcast to fetch their texts; beyond it the join is shuffled.
 FETCH_ROWS = 500_000
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 100_000
 
 find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -37,16 +39,16 @@ class _Hashes(dict):
     """64-bit hash of each word; emptied when it has grown large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 @cache
-def _state() -> tuple[_Hashes, np.ndarray, np.ndarray]:
+def _factors() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    return _Hashes(), rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+    return rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -54,7 +56,7 @@ def shingle_set(text: str) -> np.ndarray:
     words = find_words(text.translate(lower))
     if not words:
         return np.zeros(0, np.uint64)
-    a = np.fromiter(map(_state()[0].__getitem__, words), np.uint64, len(words))
+    a = np.fromiter(map(kept("shingles").setdefault("words", _Hashes()).__getitem__, words), np.uint64, len(words))
     k = min(SHINGLE, len(a))
     out = np.full(len(a) - k + 1, k, np.uint64)
     for j in range(k):
@@ -64,7 +66,7 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def minwise(s: np.ndarray) -> bytes:
-    _, a, b = _state()
+    a, b = _factors()
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(s), 4096):
         np.minimum(out, (s[k : k + 4096, None] * a + b).min(0), out=out)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts, table
+from .common import kept, map_texts, table
 
 NONE = np.int64(1) << 62
 #: Distinct words whose counts a worker keeps; beyond it the memory is emptied and filled anew.
@@ -113,11 +112,6 @@ def merge_counts(words: list[str], t: dict) -> np.ndarray:
     return out
 
 
-@cache
-def _words() -> dict[str, int]:
-    return {}
-
-
 def count_texts(texts: list[str], t: dict, known: dict[str, int]) -> list[int]:
     """Tokens of each text. Words never merge with one another, so each distinct word is merged once."""
     split = re.compile(f"{SPACE}*[^{SPACE}{t['apart']}]+|{SPACE}+|[{t['apart']}]" if t["apart"] else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -142,7 +136,7 @@ def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     t = df.sparkSession.sparkContext.broadcast(load_pieces(model_path))
 
     def run(texts: list[str]) -> list[list]:
-        n = count_texts(texts, t.value, _words())
+        n = count_texts(texts, t.value, kept(model_path))
         return [[len(x.encode()) for x in texts], n, [k > limit for k in n]]
 
     return map_texts(df, id_col, text_col, "n_bytes long, n_tokens long, over_limit boolean", run)
