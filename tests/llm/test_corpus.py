@@ -462,6 +462,20 @@ def test_edit_similarity_matches_brute_force(spark):
     assert got == {(i, j) for i, j in pairs if 10 * far(i, j) <= max(len(t[i]), len(t[j]))}
 
 
+@pytest.mark.parametrize("align_from", [1, 10**9])
+def test_alignment_changes_no_link(spark, align_from):
+    """Lines of 5 to 300 characters, with and without shared words, are links by their distance only, however they are told apart."""
+    rng = random.Random(8)
+    t = [x[:n] for n in (5, 7, 8, 40, 300) for x in texts(2, 60, seed=n)]
+    t += ["".join(rng.choice("abc de") if rng.random() < share else c for c in x) for x in t for share in (0.03, 0.12)]
+    pairs = [(i, j) for i in range(len(t)) for j in range(i) if abs(len(t[i]) - len(t[j])) < 2]
+    rows = spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(t)], "a long, norm string, size int")
+    got = {tuple(r) for r in lines.edited(spark.createDataFrame(pairs, "x long, y long"), rows, 0.9, align_from).collect()}
+    c = duckdb.connect()
+    far = lambda i, j: c.execute("SELECT levenshtein(?, ?)", [t[i], t[j]]).fetchone()[0]
+    assert got and got == {(i, j) for i, j in pairs if 10 * far(i, j) <= max(len(t[i]), len(t[j]))}
+
+
 def test_search_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 20)).astype(np.float32)
