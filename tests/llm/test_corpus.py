@@ -417,6 +417,33 @@ def test_counts_of_characters_bound_edits(spark):
     assert all(r["least"] <= r["far"] for r in got) and sum(r["least"] > 0.5 * r["far"] for r in got) > len(got) / 4
 
 
+def test_lines_are_normalised_and_keyed_in_one_pass(spark):
+    """Texts are read once for the lines with their keys, and once for the lines that are compared."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    df = frame(spark, [(f"{texts(1, 12, 5)[0]} {end}", None) for end in "ab"]).select("doc_id", counted.asNondeterministic()("text").alias("text"))
+    assert lines.line_groups(df).count() == 2 and seen.value == 2 * 2
+
+
+def test_alignment_settles_lines_that_repeat_themselves(spark):
+    """Long lines of one word or of one sentence, with changed words and a sentence more, are links by the sums of their pieces, which are never below their distance."""
+    rng, t = random.Random(7), []
+    for s in (["thor"], texts(1, 30, 77)[0].split()):
+        x = s * (600 // len(s))
+        for k in rng.sample(range(len(x)), 20):
+            x[k] = "other"
+        t += [(" ".join(s * (600 // len(s))), " ".join(x)), (" ".join(s * (600 // len(s))), " ".join(x + s))]
+    rows = spark.createDataFrame(t, "s string, t string").withColumn("most", F.floor(F.length("t") / 10).cast("int"))
+    least = F.least(*(fn(F.col("s"), F.col("t"), F.col("most")) for fn in (lines.edits_by_characters, lines.edits_by_words)))
+    got = rows.select("most", F.levenshtein("s", "t").alias("far"), least.alias("pieces")).collect()
+    assert all(r["far"] <= r["pieces"] <= r["most"] for r in got)
+
+
 def test_line_keys_take_few_tasks(spark):
     wide = spark.newSession()
     wide.conf.set("spark.sql.shuffle.partitions", "50")
